@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII blanks as the contracts write them: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -68,17 +71,39 @@ def fixed_share(id_col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies ``fn`` to each Arrow batch; stateless, so a lost task is simply rerun."""
+_shipped: set[str] = set()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors (once an application), which need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as folder:
+            copy = Path(folder, "source")
+            shutil.copytree(package, copy / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+            spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='factloom-')}/{package.name}", "zip", copy))
+        _shipped.add(app)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with the package on the workers; stateless by task, so a lost task is simply rerun."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def slices(batch: pa.RecordBatch, text_col: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``max_bytes`` of text, at least one row each: bounds a worker's memory."""
+    start = held = 0
+    for i, value in enumerate(batch.column(batch.schema.get_field_index(text_col))):
+        size = value.as_buffer().size if value.is_valid else 0
+        if held and held + size > max_bytes:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)

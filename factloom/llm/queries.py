@@ -7,11 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import scratch_path, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), emit_ids=False)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_trie import bpe_encode
+
+    coded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), decode=True, keep_text=False)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, tokenizer_path("word_bpe_49k.json"), scratch_path(spark, "token-counts"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -36,6 +62,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_packing": op3_packing,
+        "op4_bpe": op4_bpe,
+        "op5_token_counts": op5_token_counts,
         "op7_line_dedup": op7_line_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_rules": op10_quality_rules,
