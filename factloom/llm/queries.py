@@ -38,6 +38,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path("word_bpe_49k.json"), scratch_path(spark, "token-counts"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprint_text, near_dedup
+
+    found = near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3)
+    return found.select("doc_id", fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import in_training, score_lm, train_lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_lm(docs.where(in_training(F.col("doc_id"))))
+    scored = score_lm(docs, model)
+    return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -65,6 +81,8 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_bpe": op4_bpe,
         "op5_token_counts": op5_token_counts,
+        "op6_simhash_dedup": op6_simhash_dedup,
+        "op8_lm_scoring": op8_lm_scoring,
         "op7_line_dedup": op7_line_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_rules": op10_quality_rules,
