@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table, whole_text
+from .common import fixed_share, scratch_path, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fixed_share(F.col("doc_id"), 4) == 2
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_toxicity(docs, model, keep_text=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fixed_share(F.col("doc_id"), 5) == 0
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_quality(docs, model, keep_text=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -78,6 +96,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_quality_gam": op2_quality_gam,
         "op3_packing": op3_packing,
         "op4_bpe": op4_bpe,
         "op5_token_counts": op5_token_counts,

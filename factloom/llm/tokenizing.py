@@ -46,7 +46,7 @@ class ChunkCache:
         self.encode, self.limit = encode, limit
 
     def learn(self, chunks: set[str]) -> None:
-        missing = chunks - self.known.keys()
+        missing = {c for c in chunks if c not in self.known}
         if len(self.known) + len(missing) > self.limit:
             self.known, missing = {}, chunks
         if missing:
