@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import whole_text, written
 
 RESULTS = ("keep_id", "group_size", "kept")
 
@@ -60,6 +60,8 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col("__alone"), F.concat(F.lit("~"), F.xxhash64("__id", "__len", "__text"))).otherwise(F.sha2("__text", 256)).alias("__key"),
     )
     groups = hashed.where(~F.col("__alone")).groupBy(F.col("__key").alias("__gkey")).agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
+    # written, the groups bring no partitioning of their own: adaptive execution may then split a large group of copies
+    groups = written(groups, "copies")
     joined = hashed.join(groups, (F.col("__key") == F.col("__gkey")) & ~F.col("__alone"), "left")
     sized = joined.withColumn("__keep", F.when(F.col("__gkey").isNull(), F.col("__id")).otherwise(F.col("__keep"))).withColumn("__n", F.coalesce("__n", F.lit(1).cast("long")))
     # only rows that share id and text meet here

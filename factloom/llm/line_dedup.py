@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fold_ascii, whole_text
+from .common import BLANKS, fold_ascii, whole_text, written
 
 RESULTS = ("n_lines", "n_dropped")
 
@@ -55,8 +55,11 @@ def line_dedup(df: DataFrame, *, min_chars: int = 20, min_docs: int = 3, id_col:
         # two independent hashes, 96 bits together: no false match to be expected in 10^12 lines
         .select("__id", "__th", "__pos", F.xxhash64("__key").alias("__h1"), F.hash("__key").alias("__h2"))
     )
+    # written, the shared lines bring no partitioning of their own: adaptive execution may then split a line
+    # that stands in very many documents over several tasks of the join
+    shared = written(shared_lines(lines, min_docs), "shared-lines")
     dropped = (
-        lines.join(shared_lines(lines, min_docs), ["__h1", "__h2"])
+        lines.join(shared, ["__h1", "__h2"])
         .where(~F.col("__id").eqNullSafe(F.col("__keep")))
         .groupBy(F.col("__id").alias("__did"), F.col("__th").alias("__dth"))
         .agg(F.sort_array(F.collect_set("__pos")).alias("__cut"))
