@@ -6,6 +6,7 @@ budget) become two windows over the table of possible tries.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,7 @@ def gathered(sites: DataFrame, store: DataFrame, *, max_pages: int = fixed.MAX_P
     """
     homes = home_pages(sites, store)
     home = parsed_pages(homes.where("html IS NOT NULL").select("site_id", F.lit(0).alias("page_ord"), F.col("home_url").alias("page_url"), "html"), base_col="page_url")
+    home = home.persist(StorageLevel.MEMORY_AND_DISK)  # links, guesses and facts all start here: parse once
     budget = max_pages - 1
     empty = F.expr("cast(array() as array<string>)")
     if budget <= 0:
@@ -64,6 +66,7 @@ def gathered(sites: DataFrame, store: DataFrame, *, max_pages: int = fixed.MAX_P
     pages = store.select("url", F.coalesce("final_url", "url").alias("page_url"), "error", F.col("html").isNotNull().alias("loads"))
     tried = kept_tries(tries.join(pages, "url", "left").withColumn("ok", F.coalesce("loads", F.lit(False))), budget)
     said = F.replace(F.replace(F.lit(fixed.W_PAGE), F.lit("{url}"), F.col("url")), F.lit("{error}"), F.coalesce("error", F.lit("no está en el almacén")))
+    tried = tried.persist(StorageLevel.MEMORY_AND_DISK)
     per_site = tried.groupBy("site_id").agg(
         F.array_sort(F.collect_list(F.when(~F.col("ok") & (F.col("grp") <= 1), F.struct("grp", "i", said.alias("w"))))).alias("ws"),
         F.max(F.when(F.col("ok") & F.col("grp").isin(0, 2), F.col("page_url"))).alias("contact_page_url"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def contact_facts(sites: DataFrame, store: DataFrame, *, cities: DataFrame | Non
     named = sites.select("site_ord", "url", urls.normalized(F.col("url")).alias("source_url"))
     good = named.where("source_url IS NOT NULL").select(F.col("site_ord").alias("site_id"), "source_url")
     pages, found = gathered(good, store, max_pages=max_pages)
-    facts = site_facts(page_facts(pages))
+    facts = site_facts(page_facts(pages)).persist(StorageLevel.MEMORY_AND_DISK)  # read by the people and by the rest
     merged = found.join(facts, "site_id", "left").join(people_of(facts), "site_id", "left")
     tld = urls.country_of(F.col("source_url"))
     structured = phones.canonical_phones(F.concat(F.coalesce("ld.phones", F.expr(NO_TEXT)), F.coalesce("micro_phones", F.expr(NO_TEXT))), tld)
@@ -90,7 +91,7 @@ def contact_facts(sites: DataFrame, store: DataFrame, *, cities: DataFrame | Non
         F.col("text").isNotNull().alias("read"),
     )
     hint = F.coalesce(tld, phones.region_of(F.col("phones")))
-    merged = merged.withColumn("__hint", hint)
+    merged = merged.withColumn("__hint", hint).persist(StorageLevel.MEMORY_AND_DISK)  # read by the guess and by the rows
     # the gazetteer is only asked for sites that name no city themselves
     unknown = merged.where("read AND city0 IS NULL").select("site_id", "text", "snippet", F.coalesce("country0", "__hint").alias("preferred"))
     guess = guessed_cities(unknown, gazetteer.keyed(cities if cities is not None else gazetteer.builtin(spark)))
