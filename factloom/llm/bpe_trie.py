@@ -69,7 +69,7 @@ class TrieBpe:
     def follows(self, a: int, b: int) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             known = self.fits[a, b] = self.border(a, b, float("inf"))
         return known

@@ -96,7 +96,7 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, text_col: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``max_bytes`` of text, at least one row each: bounds a worker's memory."""
     start = held = 0
     for i, value in enumerate(batch.column(batch.schema.get_field_index(text_col))):

@@ -21,8 +21,8 @@ import struct
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
-#: Cached chunks per worker and cache; beyond it the cache starts anew (about 100 MB).
-CACHE_CHUNKS = 600_000
+#: Cached chunks per worker and cache, about 50 MB; beyond it only those of the texts at hand stay.
+CACHE_CHUNKS = 200_000
 #: How the usual byte-level pre-tokenizer splits.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,7 +52,7 @@ class ChunkCache:
     def learn(self, chunks: set[str]) -> None:
         missing = {c for c in chunks if c not in self.known}
         if len(self.known) + len(missing) > self.limit:
-            self.known, missing = {}, chunks
+            self.known = {c: self.known[c] for c in chunks if c in self.known}
         if missing:
             wanted = list(missing)
             self.known.update(zip(wanted, self.encode(wanted), strict=True))

@@ -45,7 +45,7 @@ QUOTES = frozenset("\"“”„«»‟‘")
 REPORTING = frozenset(("said", "says", "wrote", "writes", "quoted", "called", "dijo", "escribió", "dit", "écrit", "sagte", "schrieb"))
 STRIPPED = string.punctuation + "“”„«»‟‘’¿¡…–—"
 FEATURES = 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def bare(word: str) -> str:
