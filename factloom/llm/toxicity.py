@@ -36,6 +36,8 @@ from .labelled import label_sample
 
 #: Most labelled rows the model is fitted on, candidates looked at, and lexicon entries.
 SAMPLE_ROWS, CANDIDATES, LEXICON = 20_000, 50_000, 3_000
+#: Words of the lexicon, the strongest, that misspelled ones are sought for.
+FUZZY = 200
 THRESHOLD = 0.3
 LEAST_DOCS, LEAST_Z = 3, 2.5
 BEGINNINGS = range(4, 9)
@@ -131,7 +133,8 @@ class Lexicon:
     beginnings: dict[str, Entry] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.trie = LevenshteinTrie({w: e for w, e in self.words.items() if len(w) >= 5 and e.z >= 4 and w.isalpha()})
+        strong = [(w, e) for w, e in self.words.items() if len(w) >= 5 and e.z >= 3 and e.weight >= 4 and w.isalpha()]
+        self.trie = LevenshteinTrie(dict(sorted(strong, key=lambda x: (-x[1].weight * x[1].z, x[0]))[:FUZZY]))
         self.cache: dict[str, tuple[float, float, int] | None] = {}
 
     def __reduce__(self):
@@ -162,13 +165,11 @@ class Lexicon:
         return [(i, hit) for i, hit in enumerate(map(self.cache.__getitem__, words)) if hit]
 
 
-def quoted(words: list[str], at: int) -> bool:
-    """Whether the word stands in quotation marks or shortly after a reporting verb."""
-    before = words[max(0, at - WINDOW) : at + 1]
-    opened = sum(c in QUOTES for w in before for c in w)
-    if opened and any(c in QUOTES for w in words[at : at + WINDOW + 1] for c in w):
+def quoted(words: list[str], at: int, marks: bool) -> bool:
+    """Whether the word stands in quotation marks (``marks``: the text has some) or shortly after a reporting verb."""
+    if marks and not QUOTES.isdisjoint("".join(words[max(0, at - WINDOW) : at + 1])) and not QUOTES.isdisjoint("".join(words[at : at + WINDOW + 1])):
         return True
-    return any(bare(w) in REPORTING for w in before[-4:-1])
+    return any(bare(w) in REPORTING for w in words[max(0, at - 3) : at])
 
 
 def measure(text: str, lexicon: Lexicon) -> list[float]:
@@ -176,7 +177,8 @@ def measure(text: str, lexicon: Lexicon) -> list[float]:
     hits = lexicon.hits(words)
     if not hits:
         return [0.0] * (FEATURES - 1) + [np.log1p(len(words))]
-    in_quotes = [quoted(words, i) for i, _ in hits]
+    marks = any(c in text for c in QUOTES)
+    in_quotes = [quoted(words, i, marks) for i, _ in hits]
     plain = [h for (_, h), q in zip(hits, in_quotes, strict=True) if not q]
     # the densest window: weight of the hits within WINDOW words of each other
     densest = start = total = 0.0
@@ -211,7 +213,10 @@ def lexicon_of(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_oth
             z = weight / float(np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)))
             if weight > 1 and z >= LEAST_Z:
                 chosen.append((term, Entry(z, weight)))
-    chosen = sorted(chosen, key=lambda x: (-x[1].z, x[0]))[:LEXICON]
+    starts = {t[1:]: e.z for t, e in chosen if t[0] == "^"}
+    # a word whose beginning says it all is no entry of its own
+    covered = lambda t, z: any(starts.get(t[:n], 0) > z for n in BEGINNINGS if len(t) > n)
+    chosen = sorted((x for x in chosen if x[0][0] == "^" or not covered(x[0], x[1].z)), key=lambda x: (-x[1].z, x[0]))[:LEXICON]
     return Lexicon({t: e for t, e in chosen if t[0] != "^"}, {t[1:]: e for t, e in chosen if t[0] == "^"})
 
 
@@ -260,7 +265,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, label: st
     """``learn``: the rows of ``labels`` that may teach.  What reaches the driver is bounded by the parameters above."""
     sample = label_sample(labels, label, learn, sample_rows, id_col)
     taught = docs.select(F.col(f"`{id_col}`").alias("__id"), whole_text(text_col).alias("__text")).join(F.broadcast(sample), F.col("__id") == F.col("__lid"))
-    taught = written(taught.select(F.col("__label").alias("label"), F.pmod(F.xxhash64("__id"), F.lit(2)).cast("int").alias("half"), "__text"), "taught")
+    # copies count once, and in one half
+    taught = written(taught.select(F.col("__label").alias("label"), F.pmod(F.xxhash64("__text"), F.lit(2)).cast("int").alias("half"), "__text").dropDuplicates(["__text"]), "taught")
     sizes = {(r["label"] == 1, r["half"]): r["n"] for r in taught.groupBy("label", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = {k: sizes.get(k, 0) for k in ((True, 0), (True, 1), (False, 0), (False, 1))}
     n_toxic, n_other = n[True, 0] + n[True, 1], n[False, 0] + n[False, 1]
