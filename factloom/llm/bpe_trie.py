@@ -1,9 +1,10 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Distinct words go into a trie of symbols.  A depth-first walk gives every node the encoding of
-its prefix: by the last token ``t``, whose start node's encoding is already known, and which fits
-if BPE leaves the border between the token before and ``t`` alone.  Exactly one token fits, so a
-prefix that many words share is encoded once and no merge loop is run.
+Distinct words go into a trie of symbols.  A depth-first walk hands down the state of each prefix on
+its path: the last token ``t`` of its encoding and where that starts.  ``t`` fits if BPE leaves the border
+between the last token of the prefix before it and ``t`` alone.  Exactly one token fits, so a prefix that
+many words share is encoded once and no merge loop is run.  A prefix gets its state when a longer one first
+asks for it; an encoding is read off by going from last token to last token.
 
 Defined results
 ---------------
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, map_batches, slices, whole_text
-from .tokenizing import DroppedBlanks, as_bytes, drops_blanks, library_tokenizer
+from .tokenizing import LATIN_WORDS, DroppedBlanks, as_bytes, drops_blanks, in_byte_letters, library_tokenizer, plain_latin
 
+#: Words beyond this many letters are walked prefix by prefix; in shorter ones a prefix asks for those before it.
+DEEP = 64
 ADDED = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType()}
 
 
@@ -89,29 +92,50 @@ class TrieBpe:
                 node = node.setdefault(letter, {})
             node.setdefault("", {})[word[-1:]] = word  # under "": words that end here
         found: dict[str, tuple[int, ...]] = {}
-        so_far: list[tuple[int, ...]] = [()] * (max(map(len, words), default=0) + 1)
-        stack = [(trie, "")]
+        # of each prefix of the current path: its last token (-1: no longer prefix has asked yet) and where that starts
+        last, begin = ([0] * (max(map(len, words), default=0) + 1) for _ in range(2))
+        stack = [(trie, 0)]
         while stack:
-            node, path = stack.pop()
-            if path:
-                so_far[len(path)] = self._extended(path, len(path), so_far)
+            node, depth = stack.pop()
+            last[depth] = -1
             for letter, child in node.items():
                 if letter:
-                    stack.append((child, path + letter))
+                    stack.append((child, depth + 1))
                 else:
-                    for last, word in child.items():
-                        found[word] = self._extended(path + last + self.word_end, len(word), so_far) if word else ()
+                    for word in child.values():
+                        found[word] = self._ids(word, last, begin)
         return found
 
-    def _extended(self, path: str, length: int, so_far: list[tuple[int, ...]]) -> tuple[int, ...]:
-        vocab = self.vocab
+    def _ids(self, word: str, last: list[int], begin: list[int]) -> tuple[int, ...]:
+        if not word:
+            return ()
+        if len(word) > DEEP:
+            for length in range(1, len(word)):
+                if last[length] < 0:
+                    last[length], begin[length] = self._last(word, length, length, last, begin)
+        whole = word + self.word_end
+        token, at = self._last(whole, len(word), len(whole), last, begin)
+        ids = [token]
+        while at:
+            ids.append(last[at])
+            at = begin[at]
+        return tuple(reversed(ids))
+
+    def _last(self, path: str, length: int, stop: int, last: list[int], begin: list[int]) -> tuple[int, int]:
+        """The last token of ``path[:stop]``, which has ``length`` letters, and where it starts."""
+        get = self.vocab.get
         for start in range(max(0, length - self.longest), length):
-            token = vocab.get(path[start:])
+            token = get(path[start:stop])
             if token is not None:
-                before = so_far[start]
-                if (self.follows(before[-1], token) if before else start == 0 and self.is_whole(token)):
-                    return (*before, token)
-        raise ValueError(f"no encoding for {path!r}")
+                if not start:
+                    if self.is_whole(token):
+                        return token, 0
+                    continue
+                if last[start] < 0:
+                    last[start], begin[start] = self._last(path, start, start, last, begin)
+                if self.follows(last[start], token):
+                    return token, start
+        raise ValueError(f"no encoding for {path[:stop]!r}")
 
 
 class BpeCodec:
@@ -131,12 +155,12 @@ class BpeCodec:
         self.normalize, self.words_of = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         names = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.encode_texts = DroppedBlanks(self._encode_chunks)
+        self.encode_texts = DroppedBlanks(self._encode_chunks, self.special)
 
     def _pieces(self, chunk: str) -> list[str | int]:
         """Words in byte letters, and ids of special strings."""
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
+        if plain_latin(chunk) and "<" not in chunk:
+            return [in_byte_letters(word) for word in LATIN_WORDS.findall(chunk.lower())]
         if self.at_special and self.at_special.search(chunk):
             return [x for part in self.at_special.split(chunk) if part for x in ([self.special[part]] if part in self.special else self._pieces(part))]
         return [word for word, _ in self.words_of(self.normalize(chunk))]

@@ -149,6 +149,19 @@ def test_encoders(libraries, table, name):
         assert [own.decode(w) for w in wanted] == [libraries[name].decode(np.frombuffer(w, "<u4").tolist(), skip_special_tokens=False) for w in wanted]
 
 
+def test_plain_latin_texts(libraries):
+    from factloom.llm.bpe_trie import codec
+    from factloom.llm.tokenizing import library_encoder
+
+    path, lib, rng = q.tokenizer_path("word_bpe_49k.json"), libraries["word_bpe_49k.json"], np.random.default_rng(3)
+    texts = [t for c in map(chr, [*range(0x260), 0x2014, 0x2019]) for t in (c, f"a{c}b", f"1{c}{c}2", f"Ab {c}'S x{c}'ll_{c}.", f"{c}́")]
+    letters = [*map(chr, [9, 10, 13, 28, 0x85, *range(32, 127), *range(0xA0, 0x250)]), *"'''sstrevemlld  __<|>" * 6]
+    texts += ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(2000)]
+    texts += ["ab" * 20_000, "q" * 50_000, "a" * 63 + "b", "a" * 64 + "b", "a" * 65 + "b"]
+    wanted = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert codec(path).encode_texts(texts) == wanted and library_encoder(path)(texts) == wanted
+
+
 def test_trie_equals_merging():
     from factloom.llm.bpe_trie import TrieBpe
 
