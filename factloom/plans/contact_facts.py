@@ -17,7 +17,7 @@ PEOPLE = "array<struct<name:string,role:string>>"
 NO_TEXT = "cast(array() as array<string>)"
 
 
-def _micro_address(props: Column) -> Column:
+def micro_address(props: Column) -> Column:
     loc, reg, cou = (filled(F.try_element_at(props, F.lit(k))) for k in fixed.ITEMPROPS[:3])
     return F.struct(loc.alias("locality"), reg.alias("region"), cou.alias("country"), filled(F.concat_ws(", ", loc, reg, cou)).alias("raw"))
 
@@ -27,7 +27,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     linked = phones.tel_numbers(F.transform("anchors", lambda a: a["href"]))
     return pages.select(
         "site_id", "page_ord", "ld_json", "meta_city", "text",
-        _micro_address(F.col("itemprops")).alias("micro"),
+        micro_address(F.col("itemprops")).alias("micro"),
         filled(F.try_element_at("itemprops", F.lit("telephone"))).alias("micro_phone"),
         phones.phones_in_text(F.col("text"), linked, urls.country_of(F.col("page_url"))).alias("phones"),
         names.names_in_text(F.col("text_no_nav")).alias("names"),

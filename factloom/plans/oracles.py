@@ -31,10 +31,12 @@ def _keyword_points() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import edge_queries
+
     good_role = "('Directora', 'Asesor comercial')"
     role = _pick("c_custkey // 3", ROLE)
     who = _person("c_custkey")
-    return {
+    return edge_queries.oracle_sql() | {
         "url_functions": """
 WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://' || regexp_replace(url, '^https?://', '') ELSE url END AS url FROM pages)
 SELECT page_id, url AS url_normalized,

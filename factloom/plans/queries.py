@@ -225,7 +225,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    from .edge_queries import QUERIES  # it uses the helpers above
+
+    return QUERIES | {
         "url_functions": url_functions, "country_of_url": country_of_url, "common_paths": common_paths, "link_ranking": link_ranking,
         "visible_text": visible_text, "hours_in_text": hours_in_text, "compact_hours": compact_hours, "hours_spec": hours_spec,
         "names_in_text": names_in_text, "cleaned_names": cleaned_names, "address_in_text": address_in_text, "word_ngrams": word_ngrams,
