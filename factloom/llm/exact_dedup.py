@@ -52,24 +52,19 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     prefixed = by_length.withColumn("__ph", F.when(F.col("__s1"), F.xxhash64(F.substring("__text", 1, prefix_chars))))
     keys = ["__len", "__ph"]
     by_prefix = with_shared(prefixed, shared_keys(prefixed.where("__s1"), keys, bitmap_bits), keys, bitmap_bits, "__s2")
-    # rows that stay alone get a key of their own, so that no null key gathers in one task
-    hashed = by_prefix.withColumn("__alone", ~(F.col("__s1") & F.col("__s2"))).select(
-        "__id",
-        *(f"__c{i}" for i in range(len(carry))),
-        "__alone",
-        F.when(F.col("__alone"), F.concat(F.lit("~"), F.xxhash64("__id", "__len", "__text"))).otherwise(F.sha2("__text", 256)).alias("__key"),
-    )
-    groups = hashed.where(~F.col("__alone")).groupBy(F.col("__key").alias("__gkey")).agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
+    # hashed once and written: texts are not read again, and rows that stay alone pass by the join and the window
+    alone = ~(F.col("__s1") & F.col("__s2"))
+    carried = [f"__c{i}" for i in range(len(carry))]
+    hashed = written(by_prefix.select("__id", *carried, F.when(~alone, F.sha2("__text", 256)).alias("__key")), "full-hashes")
+    copies = hashed.where("__key IS NOT NULL")
     # written, the groups bring no partitioning of their own: adaptive execution may then split a large group of copies
-    groups = written(groups, "copies")
-    joined = hashed.join(groups, (F.col("__key") == F.col("__gkey")) & ~F.col("__alone"), "left")
-    sized = joined.withColumn("__keep", F.when(F.col("__gkey").isNull(), F.col("__id")).otherwise(F.col("__keep"))).withColumn("__n", F.coalesce("__n", F.lit(1).cast("long")))
-    # only rows that share id and text meet here
-    first = F.row_number().over(Window.partitionBy("__key", "__id").orderBy(F.lit(1))) == 1
-    return sized.withColumn("__first", first).select(
-        F.col("__id").alias(id_col),
-        F.col("__keep").alias("keep_id"),
-        F.col("__n").alias("group_size"),
-        (F.col("__id").eqNullSafe(F.col("__keep")) & F.col("__first")).alias("kept"),
-        *(F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)),
-    )
+    groups = written(copies.groupBy(F.col("__key").alias("__gkey")).agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n")), "copies")
+    joined = copies.join(groups, F.col("__key") == F.col("__gkey"))
+    # only rows that share id and text meet here; one column holds both, so the join need not keep a group together
+    row = F.concat("__key", F.when(F.col("__id").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("__id").cast("string"))))
+    first = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1))) == 1
+    ranked = joined.withColumn("__row", row).withColumn("__first", first)
+    kept = F.col("__id").eqNullSafe(F.col("__keep")) & F.col("__first")
+    results = lambda keep, n, stays: [F.col("__id").alias(id_col), keep.alias("keep_id"), n.alias("group_size"), stays.alias("kept"), *(F.col(c).alias(name) for c, name in zip(carried, carry, strict=True))]
+    single = hashed.where("__key IS NULL").select(*results(F.col("__id"), F.lit(1).cast("long"), F.lit(True)))
+    return ranked.select(*results(F.col("__keep"), F.col("__n"), kept)).unionByName(single)
