@@ -55,6 +55,8 @@ def line_dedup(df: DataFrame, *, min_chars: int = 20, min_docs: int = 3, id_col:
         # two independent hashes, 96 bits together: no false match to be expected in 10^12 lines
         .select("__id", "__th", "__pos", F.xxhash64("__key").alias("__h1"), F.hash("__key").alias("__h2"))
     )
+    # written, lines are cut and hashed once for the count and the join
+    lines = written(lines, "line-hashes")
     # written, the shared lines bring no partitioning of their own: adaptive execution may then split a line
     # that stands in very many documents over several tasks of the join
     shared = written(shared_lines(lines, min_docs), "shared-lines")
