@@ -304,3 +304,35 @@ def test_pipeline(spark):
         assert docs.where("false").count() == 0 and docs.count() > 0
     kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert {r["doc_id"] for r in p.run(spark, SF).select("doc_id").distinct().collect()} == kept
+
+
+def test_near_copies_against_exact_similarity(spark):
+    from factloom.llm.simhash import near_copies
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (1, 4, 12, 60, 300, 1500):
+        for copies in (1, 4, 12):
+            words = [f"w{i}" for i in rng.integers(0, 5000, size)]
+            for k in range(copies + 1):
+                changed = list(words)
+                for i in rng.choice(size, min(size, k * size // 150 + (k > 0) * (size > 50)), replace=False):
+                    changed[i] = f"new{rng.integers(1 << 30)}"
+                rows.append((len(rows), " ".join(changed)))
+    rows += [(len(rows), None), (len(rows) + 1, " "), (None, "no id")]
+    words = [f"h{i}" for i in range(200)]
+    rows += [(10_000 + k, " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(60)]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(max(1, len(w) - 4))}
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    ids = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        ids[g] = min((x for x in (ids.get(g), i) if x is not None), default=None)
+    expected = {i: ids[g] for (i, _), g in zip(rows, group, strict=True)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies(frame).collect()} == expected
+    assert len(set(expected.values())) < len(rows) / 2 and near_copies(frame.where("false")).count() == 0
