@@ -177,12 +177,11 @@ def shingle_sets(df: DataFrame, *, shingle: int, id_col: str = "doc_id", text_co
                 nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
                 bands = [bands_of(h).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes), pa.array(fps), pa.array([len(h) for h in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))],
+                    [part.column(0), pa.array(nodes), pa.array(fps), pa.array([len(h) for h in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([h.tobytes() for h in sets], pa.binary())],
                     names=[id_col, "node", "fp", "n", "bands", "hashes"],
                 )
 
-    numbers = T.ArrayType(T.LongType())
-    fields = [("node", T.LongType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("bands", numbers), ("hashes", numbers)]
+    fields = [("node", T.LongType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType())), ("hashes", T.BinaryType())]
     return map_batches(source, run, T.StructType([T.StructField(id_col, source.schema[0].dataType), *(T.StructField(n, t) for n, t in fields)]))
 
 
@@ -190,17 +189,35 @@ def candidates(nodes: DataFrame, *, similarity: float, bits: int, hot_cell: int)
     """Pairs (``a``, ``b``) of ``nodes`` that share a band and can be as similar as that."""
     cells = nodes.select("node", "fp", "n", F.posexplode("bands").alias("band", "cell"))
     pivot = lambda seed: F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "fp", "n"))
-    sizes = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("size"), F.array(*map(pivot, range(PIVOTS))).alias("pivots")).where("size > 1")
+    sizes = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = written(cells.join(sizes, ["band", "cell"]), "cells")
     can = lambda x, y: (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= bits)
     ends = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
     few = sized.where(F.col("size") <= hot_cell).select("band", "cell", "node", "fp", "n")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node"))
     pairs = few.alias("x").join(few.alias("y"), same & can("x", "y")).select(*ends("x", "y"))
-    met = sized.where(F.col("size") > hot_cell).select(F.struct("node", "fp", "n").alias("x"), F.explode("pivots").alias("y")).where((F.col("x.node") != F.col("y.node")) & can("x", "y")).select(*ends("x", "y"))
+    hot = sized.where(F.col("size") > hot_cell).select("band", "cell", "node", "fp", "n")
+    pivots = hot.groupBy("band", "cell").agg(F.array(*map(pivot, range(PIVOTS))).alias("pivots"))
+    met = hot.join(pivots, ["band", "cell"]).select(F.struct("node", "fp", "n").alias("x"), F.explode("pivots").alias("y")).where((F.col("x.node") != F.col("y.node")) & can("x", "y")).select(*ends("x", "y"))
     return pairs.unionByName(met).distinct()
 
 
+def verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """``a`` and ``b`` of the rows whose sets ``of_a`` and ``of_b`` are that similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("of_a", "of_b"))
+            keep = []
+            for one, two in zip(x, y, strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), "<u8") for v in (one, two))
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(shared >= similarity * (len(one) + len(two) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(pairs.select("a", "b", "of_a", "of_b"), run, "a long, b long")
+
+
 def near_copies(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 24, hot_cell: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id and ``component_id``, the least id that links of at least ``similarity`` lead to."""
     sets = written(shingle_sets(df, shingle=shingle, id_col=id_col, text_col=text_col), "shingle-sets")
@@ -211,10 +228,7 @@ def near_copies(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bit
     # of equal sets one, before they meet the pairs
     held = written(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "wanted-sets")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    # the two sizes less the shared ones: of the union
-    linked = both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-    roots = components(linked).withColumnRenamed("node", "of")
+    roots = components(verified(both, similarity)).withColumnRenamed("node", "of")
     of_node = nodes.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = of_node.join(of_node.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return sets.select(id_col, "node").join(ids, "node").drop("node")
