@@ -131,14 +131,16 @@ class LevenshteinTrie:
 class Lexicon:
     words: dict[str, Entry] = field(default_factory=dict)
     beginnings: dict[str, Entry] = field(default_factory=dict)
+    #: Words that misspelled ones are sought for; those that a beginning covers are among them.
+    sought: dict[str, Entry] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        strong = [(w, e) for w, e in self.words.items() if len(w) >= 5 and e.z >= 3 and e.weight >= 4 and w.isalpha()]
+        strong = [(w, e) for w, e in self.sought.items() if len(w) >= 5 and e.z >= 3 and e.weight >= 4 and w.isalpha()]
         self.trie = LevenshteinTrie(dict(sorted(strong, key=lambda x: (-x[1].weight * x[1].z, x[0]))[:FUZZY]))
         self.cache: dict[str, tuple[float, float, int] | None] = {}
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.beginnings)
+        return Lexicon, (self.words, self.beginnings, self.sought)
 
     def match(self, chunk: str) -> tuple[float, float, int] | None:
         """(z, weight, kind) of what the chunk hits; kind 0 exact, 1 beginning, 2 misspelled."""
@@ -213,11 +215,17 @@ def lexicon_of(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_oth
             z = weight / float(np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)))
             if weight > 1 and z >= LEAST_Z:
                 chosen.append((term, Entry(z, weight)))
-    starts = {t[1:]: e.z for t, e in chosen if t[0] == "^"}
-    # a word whose beginning says it all is no entry of its own
-    covered = lambda t, z: any(starts.get(t[:n], 0) > z for n in BEGINNINGS if len(t) > n)
-    chosen = sorted((x for x in chosen if x[0][0] == "^" or not covered(x[0], x[1].z)), key=lambda x: (-x[1].z, x[0]))[:LEXICON]
-    return Lexicon({t: e for t, e in chosen if t[0] != "^"}, {t[1:]: e for t, e in chosen if t[0] == "^"})
+    chosen.sort(key=lambda x: (-x[1].z, x[0]))
+    starts = {t[1:]: e for t, e in chosen if t[0] == "^"}
+
+    def covered(word: str, entry: Entry) -> bool:
+        """Whether the beginning that would be hit instead says as much."""
+        best = max((e for n in BEGINNINGS if len(word) > n and (e := starts.get(word[:n]))), key=lambda e: e.z, default=None)
+        return best is not None and best.z > entry.z and best.weight >= entry.weight
+
+    words = {t: e for t, e in chosen if t[0] != "^"}
+    entries = [(t, e) for t, e in chosen if t[0] == "^" or not covered(t, e)][:LEXICON]
+    return Lexicon({t: e for t, e in entries if t[0] != "^"}, {t[1:]: e for t, e in entries if t[0] == "^"}, dict(islice(words.items(), LEXICON)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -336,3 +336,14 @@ def test_near_copies_against_exact_similarity(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in near_copies(frame).collect()} == expected
     assert len(set(expected.values())) < len(rows) / 2 and near_copies(frame.where("false")).count() == 0
+
+
+def test_covered_words_stay_sought():
+    from factloom.llm.toxicity import lexicon_of
+
+    # the beginning stands in more toxic documents, the word in no clean one
+    lexicon = lexicon_of({"loser": 93, "^lose": 93, "losers": 80}, {"^lose": 12, "losers": 12}, 319, 2578)
+    assert lexicon.match("loser")[2] == 0 and lexicon.match("loser")[1] > 7
+    assert lexicon.match("losers")[2] == 1  # says no more than its beginning
+    for word in ("looser", "lo5er", "lser"):
+        assert lexicon.match(word)[2] == 2, word
