@@ -36,8 +36,8 @@ from .labelled import label_sample
 
 #: Most labelled rows the model is fitted on, candidates looked at, and lexicon entries.
 SAMPLE_ROWS, CANDIDATES, LEXICON = 20_000, 50_000, 3_000
-#: Words of the lexicon, the strongest, that misspelled ones are sought for.
-FUZZY = 200
+#: Letters that a word of the lexicon has at least for misspelled ones to be sought, edits at most, and letters for two.
+LEAST_LETTERS, EDITS, TWO_FROM = 5, 2, 9
 THRESHOLD = 0.3
 LEAST_DOCS, LEAST_Z = 3, 2.5
 BEGINNINGS = range(4, 9)
@@ -67,11 +67,23 @@ class Entry:
     weight: float
 
 
+def without(word: str, letters: int) -> set[str]:
+    """The word, and what is left of it without up to so many letters."""
+    found = last = {word}
+    for _ in range(letters):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
+
 class LevenshteinTrie:
     """Words, and a search for those within ``errors`` edits of a word.
 
     The automaton of the searched word is simulated bit-parallel: bit i of row e says that
     i letters are matched with e errors.  The walk leaves a branch once no bit is left.
+
+    Two words within ``errors`` edits have something in common that is left of each without ``errors``
+    letters at most, so only words that share it with an entry are walked at all.
     """
 
     def __init__(self, words: dict[str, Entry]):
@@ -84,6 +96,7 @@ class LevenshteinTrie:
         lengths = [len(w) for w in words] or [0]
         self.shortest, self.longest = min(lengths), max(lengths)
         self.words = words
+        self.left = [frozenset().union(*(without(w, errors) for w in words)) for errors in range(EDITS + 1)]
         self.tails = {w[1:]: (w, e) for w, e in sorted(words.items(), key=lambda x: x[1].weight)}
 
     def search(self, word: str, errors: int) -> tuple[str, Entry] | None:
@@ -99,6 +112,8 @@ class LevenshteinTrie:
             return found
         if tail in self.words:
             return tail, self.words[tail]
+        if self.left[errors].isdisjoint(without(word, errors)):
+            return None
         branch = self.root.get(word[0])
         if branch is None:
             return None
@@ -135,8 +150,7 @@ class Lexicon:
     sought: dict[str, Entry] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        strong = [(w, e) for w, e in self.sought.items() if len(w) >= 5 and e.z >= 3 and e.weight >= 4 and w.isalpha()]
-        self.trie = LevenshteinTrie(dict(sorted(strong, key=lambda x: (-x[1].weight * x[1].z, x[0]))[:FUZZY]))
+        self.trie = LevenshteinTrie({w: e for w, e in self.sought.items() if len(w) >= LEAST_LETTERS and w.isalpha()})
         self.cache: dict[str, tuple[float, float, int] | None] = {}
 
     def __reduce__(self):
@@ -153,7 +167,7 @@ class Lexicon:
             best = max(starts, key=lambda e: e.z)
             return best.z, best.weight, 1
         if len(word) >= 4:
-            near = self.trie.search(word, 2 if len(word) >= 9 else 1)
+            near = self.trie.search(word, EDITS if len(word) >= TWO_FROM else 1)
             if near:
                 return 0.7 * near[1].z, 0.7 * near[1].weight, 2
         return None

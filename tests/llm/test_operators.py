@@ -347,3 +347,13 @@ def test_covered_words_stay_sought():
     assert lexicon.match("losers")[2] == 1  # says no more than its beginning
     for word in ("looser", "lo5er", "lser"):
         assert lexicon.match(word)[2] == 2, word
+
+
+def test_every_long_word_is_sought():
+    from factloom.llm.toxicity import Entry, Lexicon
+
+    rng = np.random.default_rng(4)
+    words = {"".join(rng.choice(list("abcdefghij"), rng.integers(5, 13))): Entry(2.6, 1.1) for _ in range(600)}
+    lexicon = Lexicon(words, {}, words)
+    for word in words:
+        assert lexicon.match(word[:2] + "#" + word[3:])[2] == 2, word
