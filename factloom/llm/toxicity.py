@@ -95,34 +95,20 @@ class LevenshteinTrie:
             node[""] = (word, entry)
         lengths = [len(w) for w in words] or [0]
         self.shortest, self.longest = min(lengths), max(lengths)
-        self.words = words
         self.left = [frozenset().union(*(without(w, errors) for w in words)) for errors in range(EDITS + 1)]
-        self.tails = {w[1:]: (w, e) for w, e in sorted(words.items(), key=lambda x: x[1].weight)}
 
     def search(self, word: str, errors: int) -> tuple[str, Entry] | None:
-        """An entry within ``errors`` edits, or None.
-
-        An edit of the first letter would open every branch of the trie; as the only edit it
-        leaves the other letters alone, so it is looked up.  The walk takes the first letter's branch.
-        """
+        """The entry of most weight within ``errors`` edits, or None."""
         if not self.shortest - errors <= len(word) <= self.longest + errors:
             return None
-        tail = word[1:]
-        if found := self.tails.get(tail) or self.tails.get(word):
-            return found
-        if tail in self.words:
-            return tail, self.words[tail]
         if self.left[errors].isdisjoint(without(word, errors)):
             return None
-        branch = self.root.get(word[0])
-        if branch is None:
-            return None
         mask: dict[str, int] = {}
         for i, letter in enumerate(word):
             mask[letter] = mask.get(letter, 0) | 1 << i
         full, end = (2 << len(word)) - 1, 1 << len(word)
         best = None
-        stack = [(branch, tuple((4 << e) - 1 & full & ~1 for e in range(errors + 1)))]
+        stack = [(self.root, tuple((2 << e) - 1 & full for e in range(errors + 1)))]
         while stack:
             node, rows = stack.pop()
             for letter, child in node.items():

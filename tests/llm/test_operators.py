@@ -357,3 +357,27 @@ def test_every_long_word_is_sought():
     lexicon = Lexicon(words, {}, words)
     for word in words:
         assert lexicon.match(word[:2] + "#" + word[3:])[2] == 2, word
+
+
+def test_levenshtein_trie_with_two_edits():
+    from factloom.llm.toxicity import Entry, LevenshteinTrie
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = np.random.default_rng(6)
+    for k in range(1500):
+        words = {"".join(rng.choice(list("abcd"), rng.integers(5, 12))): Entry(5.0, 1.0 + i) for i in range(6)}
+        searched = "".join(rng.choice(list("abcd"), rng.integers(4, 13)))
+        errors = 1 + k % 2
+        found = LevenshteinTrie(words).search(searched, errors)
+        near = [w for w in words if distance(searched, w) <= errors]
+        assert (found and found[0]) == max(near, key=lambda w: words[w].weight, default=None)
+    trie = LevenshteinTrie({w: Entry(5.0, 1.0) for w in ("disgusting", "worthless")})
+    for word in ("idsgusting", "vvorthless", "owrthless"):
+        assert trie.search(word, 2), word
