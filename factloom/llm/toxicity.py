@@ -2,8 +2,8 @@
 
 Lexicon: words and word beginnings that stand in toxic documents far more often than in others (log-odds
 over its standard error), counted over a bounded sample of labelled rows.  Matching: each distinct word
-is looked up, and walked as a Levenshtein automaton over the trie of the lexicon's longer words, so that
-misspelled terms hit as well.  Context: hits are weighed in windows of words; hits inside quotation
+is looked up, and walked as a Levenshtein automaton over the trie of those of the lexicon's longer words that
+can be near it, so that misspelled terms hit as well.  Context: hits are weighed in windows of words; hits inside quotation
 marks or after a reporting verb count as quotation, apart from the rest.  A logistic
 model turns these measurements into a score; it is fitted on documents with the lexicon of the other half
 of the sample, so it knows how far terms can be trusted on unseen texts.
@@ -83,32 +83,42 @@ class LevenshteinTrie:
     i letters are matched with e errors.  The walk leaves a branch once no bit is left.
 
     Two words within ``errors`` edits have something in common that is left of each without ``errors``
-    letters at most, so only words that share it with an entry are walked at all.
+    letters at most, so only the trie of the entries that share it with the searched word is walked.
     """
 
     def __init__(self, words: dict[str, Entry]):
-        self.root: dict = {}
-        for word, entry in words.items():
-            node = self.root
-            for letter in word:
-                node = node.setdefault(letter, {})
-            node[""] = (word, entry)
         lengths = [len(w) for w in words] or [0]
         self.shortest, self.longest = min(lengths), max(lengths)
-        self.left = [frozenset().union(*(without(w, errors) for w in words)) for errors in range(EDITS + 1)]
+        self.words = words
+        self.left: list[dict[str, list[str]]] = [{} for _ in range(EDITS + 1)]
+        for errors, entries in enumerate(self.left):
+            for w in words:
+                for rest in without(w, errors):
+                    entries.setdefault(rest, []).append(w)
+
+    def trie(self, some: set[str]) -> dict:
+        root: dict = {}
+        for word in sorted(some):
+            node = root
+            for letter in word:
+                node = node.setdefault(letter, {})
+            node[""] = (word, self.words[word])
+        return root
 
     def search(self, word: str, errors: int) -> tuple[str, Entry] | None:
         """The entry of most weight within ``errors`` edits, or None."""
         if not self.shortest - errors <= len(word) <= self.longest + errors:
             return None
-        if self.left[errors].isdisjoint(without(word, errors)):
+        some = self.left[errors].keys() & without(word, errors)
+        if not some:
             return None
+        root = self.trie({w for rest in some for w in self.left[errors][rest]})
         mask: dict[str, int] = {}
         for i, letter in enumerate(word):
             mask[letter] = mask.get(letter, 0) | 1 << i
         full, end = (2 << len(word)) - 1, 1 << len(word)
         best = None
-        stack = [(self.root, tuple((2 << e) - 1 & full for e in range(errors + 1)))]
+        stack = [(root, tuple((2 << e) - 1 & full for e in range(errors + 1)))]
         while stack:
             node, rows = stack.pop()
             for letter, child in node.items():
