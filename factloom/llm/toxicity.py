@@ -68,11 +68,13 @@ class Entry:
 
 
 def without(word: str, letters: int) -> set[str]:
-    """The word, and what is left of it without up to so many letters."""
-    found = last = {word}
-    for _ in range(letters):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        found = found | last
+    """The word, and what is left of it without up to so many letters, two at most."""
+    n = range(len(word))
+    found = {word}
+    if letters:
+        found.update([word[:i] + word[i + 1 :] for i in n])
+    if letters > 1:
+        found.update([word[:i] + word[i + 1 : j] + word[j + 1 :] for j in n for i in range(j)])
     return found
 
 
@@ -84,6 +86,7 @@ class LevenshteinTrie:
 
     Two words within ``errors`` edits have something in common that is left of each without ``errors``
     letters at most, so only the trie of the entries that share it with the searched word is walked.
+    Of two edits, either one half of the word has none, or each has one at most: asked first, as it is cheaper.
     """
 
     def __init__(self, words: dict[str, Entry]):
@@ -95,6 +98,13 @@ class LevenshteinTrie:
             for w in words:
                 for rest in without(w, errors):
                     entries.setdefault(rest, []).append(w)
+        self.starts, self.ends = {w[:k] for w in words for k in range(len(w) + 1)}, {w[k:] for w in words for k in range(len(w) + 1)}
+        self.near_starts, self.near_ends = (frozenset().union(*(without(x, 1) for x in xs)) for xs in (self.starts, self.ends))
+
+    def halves(self, word: str) -> bool:
+        """Whether the halves of the word leave room for an entry within two edits."""
+        start, end = word[: len(word) // 2], word[len(word) // 2 :]
+        return start in self.starts or end in self.ends or not (self.near_starts.isdisjoint(without(start, 1)) or self.near_ends.isdisjoint(without(end, 1)))
 
     def trie(self, some: set[str]) -> dict:
         root: dict = {}
@@ -109,6 +119,8 @@ class LevenshteinTrie:
         """The entry of most weight within ``errors`` edits, or None."""
         if not self.shortest - errors <= len(word) <= self.longest + errors:
             return None
+        if errors == EDITS and not self.halves(word):
+            return None
         some = self.left[errors].keys() & without(word, errors)
         if not some:
             return None
