@@ -1,12 +1,13 @@
 """Harmonic packing of token sequences.
 
-Every worker fills bins by itself.  A document is cut into whole sequences, then its rest into
-falling powers of two down to ``least_cut``; pieces of capacity / 2^i fill bins of exactly 2^i pieces
-without padding.  What is left, shorter than ``least_cut``, falls into classes by reciprocal
-capacity: class k holds lengths in (capacity/(k+1), capacity/k] and fills its bins with k pieces;
-lengths beyond the last class share one open bin.  At the end of a task, unfilled bins of the
-power-of-two classes become sequences of power-of-two length (not padded), the few other open pieces are
-merged first-fit.  Padding is thus confined to the tails.
+Every worker fills bins by itself.  Documents of at most one sequence are put into classes by reciprocal capacity:
+class k holds lengths in (capacity/(k+1), capacity/k] and fills its bins with k documents, uncut; those
+shorter than capacity/(``LAST_CLASS`` + 1) share one bin, which takes what fits.  What a full bin leaves open
+is filled by documents longer than a sequence, which have to be cut anyway: they stand in a short
+reserve, and what overflows it becomes whole sequences.  Where no such document is at hand a bin waits; once
+``WAITING`` bins do, the next documents fill their gaps, whole where one fits, else cut.  At the end of a
+task the emptiest waiting bins and the unfilled ones fill the others, and a last remainder is cut into
+sequences of falling powers of two, which are not padded.
 
 Workers share nothing; a lost task is rerun on the same rows and gives the same sequences, whose
 ids carry the number of the partition.
@@ -14,15 +15,19 @@ ids carry the number of the partition.
 Defined results
 ---------------
 * null or empty text: the end id alone, one piece of length 1;
+* very long texts: as many pieces as it takes; no more than one document's ids beyond the reserve are held;
 * repeated rows, null ids: each row is packed as a document of its own;
-* empty table: empty result.
+* documents of equal length: in the order the rows are read;
+* empty table: empty result; other input columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,81 +38,134 @@ from pyspark.sql import types as T
 from .common import column, map_batches, slices, whole_text
 from .tokenizing import library_encoder
 
-#: Classes beyond this share one open bin.
+#: Shorter documents than those of this class share one bin.
 LAST_CLASS = 32
+#: Full bins that wait for a filling, and sequences held in reserve, at most.
+WAITING, RESERVE = 64, 16
 
-Piece = tuple[int, int, int, int, int, bytes]  # row of the id, start, length, crc32, document's ids, ids
 
+class Piece(NamedTuple):
+    """``length`` ids of a document from ``start`` on."""
 
-def cut(total: int, capacity: int, least_cut: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of a document's pieces."""
-    start = 0
-    while total - start >= capacity:
-        yield start, capacity
-        start += capacity
-    size = capacity // 2
-    while size >= least_cut:
-        if total - start >= size:
-            yield start, size
-            start += size
-        size //= 2
-    if total > start:
-        yield start, total - start
+    doc: object
+    ids: bytes
+    start: int
+    length: int
+
+    def cut(self, length: int) -> tuple[Piece, Piece]:
+        return self._replace(length=length), self._replace(start=self.start + length, length=self.length - length)
+
+
+def taken(rest: deque[Piece], length: int) -> list[Piece]:
+    """Pieces of that length together, or all there are, off the front of ``rest``."""
+    found = []
+    while rest and length:
+        piece = rest.popleft()
+        if piece.length > length:
+            piece, left = piece.cut(length)
+            rest.appendleft(left)
+        length -= piece.length
+        found.append(piece)
+    return found
+
+
+def size_of(pieces: Iterable[Piece]) -> int:
+    return sum(p.length for p in pieces)
 
 
 class Bins:
-    """The open bins of one worker."""
+    """The bins of one worker; what is handed out are sequences, lists of pieces."""
 
-    def __init__(self, capacity: int, least_cut: int):
-        self.capacity, self.least_cut = capacity, least_cut
+    def __init__(self, capacity: int):
+        self.capacity = capacity
         self.open: dict[int, list[Piece]] = defaultdict(list)
-        self.rest: list[Piece] = []
-        self.rest_size = 0
-
-    def add(self, piece: Piece) -> list[Piece] | None:
-        """The sequence that the piece completes, if any."""
-        k = self.capacity // piece[2]
-        if k <= LAST_CLASS or piece[2] >= self.least_cut:
-            held = self.open[k]
-            held.append(piece)
-            return self.open.pop(k) if len(held) == k else None
-        full = None
-        if self.rest_size + piece[2] > self.capacity:
-            full, self.rest, self.rest_size = self.rest, [], 0
-        self.rest.append(piece)
-        self.rest_size += piece[2]
-        return full
+        self.waiting: list[tuple[int, int, list[Piece]]] = []  # gap, number, pieces; by gap
+        self.reserve: deque[Piece] = deque()
+        self.reserved = self.numbered = self.shared = 0
+
+    def _wait(self, pieces: list[Piece], gap: int) -> None:
+        self.numbered += 1
+        insort(self.waiting, (gap, self.numbered, pieces))
+
+    def _full(self, pieces: list[Piece]) -> Iterator[list[Piece]]:
+        """A bin that holds its documents: its gap is filled from the reserve, or it waits."""
+        gap = self.capacity - size_of(pieces)
+        filling = taken(self.reserve, gap)
+        self.reserved -= size_of(filling)
+        gap -= size_of(filling)
+        if gap:
+            self._wait(pieces + filling, gap)
+        else:
+            yield pieces + filling
+
+    def _fill(self, piece: Piece) -> Iterator[list[Piece]]:
+        """Fills waiting bins, those with small gaps first, with a document that is cut for it."""
+        rest = deque([piece])
+        while rest and self.waiting:
+            gap, _, pieces = self.waiting.pop(0)
+            filling = taken(rest, gap)
+            gap -= size_of(filling)
+            if gap:
+                self._wait(pieces + filling, gap)
+            else:
+                yield pieces + filling
+        self.reserve.extend(rest)
+        self.reserved += size_of(rest)
+        while self.reserved > RESERVE * self.capacity:
+            self.reserved -= self.capacity
+            yield taken(self.reserve, self.capacity)
+
+    def add(self, piece: Piece) -> Iterator[list[Piece]]:
+        k = self.capacity // piece.length
+        if not k:
+            yield from self._fill(piece)
+        elif len(self.waiting) >= WAITING:
+            at = bisect_left(self.waiting, (piece.length,))
+            if at < len(self.waiting):
+                gap, _, pieces = self.waiting.pop(at)
+                yield from self._full([*pieces, piece])
+            else:
+                yield from self._fill(piece)
+        elif k <= LAST_CLASS:
+            self.open[k].append(piece)
+            if len(self.open[k]) == k:
+                yield from self._full(self.open.pop(k))
+        else:
+            if self.shared + piece.length > self.capacity:
+                yield from self._full(self.open.pop(0))
+                self.shared = 0
+            self.open[0].append(piece)
+            self.shared += piece.length
 
     def close(self) -> Iterator[list[Piece]]:
-        tails = self.rest
-        for k, held in self.open.items():
-            if held[0][2] < self.least_cut:
-                tails += held
+        rest = self.reserve
+        for k in sorted(self.open):
+            rest.extend(self.open[k])
+        while self.waiting:
+            if not rest:
+                rest.extend(self.waiting.pop()[2])  # the emptiest
                 continue
-            size = 1 << len(held).bit_length()
-            while held:  # as many pieces as a power of two at a time
+            gap, _, pieces = self.waiting.pop(0)
+            filling = taken(rest, gap)
+            if size_of(filling) < gap:
+                self._wait(pieces + filling, gap - size_of(filling))
+            else:
+                yield pieces + filling
+        left, size = size_of(rest), self.capacity
+        while left:
+            while size > left:
                 size //= 2
-                if len(held) >= size:
-                    yield held[:size]
-                    held = held[size:]
-        bins: list[list] = []
-        for piece in sorted(tails, key=lambda p: -p[2]):
-            fitting = next((b for b in bins if b[0] + piece[2] <= self.capacity), None)
-            if fitting is None:
-                bins.append(fitting := [0, []])
-            fitting[0] += piece[2]
-            fitting[1].append(piece)
-        for _, pieces in bins:
-            yield pieces
-
-
-def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 1, least_cut: int = 128, id_col: str = "doc_id", text_col: str = "text", emit_ids: bool = True) -> DataFrame:
+            yield taken(rest, size)
+            left -= size
+
+
+def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", emit_ids: bool = True) -> DataFrame:
     """One row per piece; ``ids`` (little-endian unsigned 32-bit) too if ``emit_ids``.
 
-    ``capacity`` and ``least_cut`` are powers of two.
+    ``capacity`` is a power of two.
     """
-    if capacity & (capacity - 1) or least_cut & (least_cut - 1):
-        raise ValueError("capacity and least_cut are powers of two")
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("capacity is a power of two")
     source = df.select(F.col(f"`{id_col}`").alias("__id"), whole_text(text_col).alias("__text"))
     numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(id_col, source.schema["__id"].dataType), *(T.StructField(n, T.LongType()) for n in numbers), *([T.StructField("ids", T.BinaryType())] if emit_ids else [])])
@@ -115,15 +173,16 @@ def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer_path)
-        bins = Bins(capacity, least_cut)
+        bins = Bins(capacity)
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
 
         def place(pieces: list[Piece]) -> None:
             nonlocal sequence
             offset = 0
-            for doc, start, length, crc, total, ids in pieces:
-                rows.append((doc, start, length, crc, total, sequence, offset, ids))
+            for doc, ids, start, length in pieces:
+                own = ids[4 * start : 4 * (start + length)]
+                rows.append((doc, start, length, zlib.crc32(own), len(ids) // 4, sequence, offset, own if emit_ids else b""))
                 offset += length
             sequence += 1
 
@@ -138,12 +197,8 @@ def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: in
             for part in slices(batch, "__text"):
                 for doc, ids in zip(column(part, "__id"), encoder(column(part, "__text")), strict=True):
                     ids += end
-                    total = len(ids) // 4
-                    for start, length in cut(total, capacity, least_cut):
-                        own = ids[4 * start : 4 * (start + length)]
-                        full = bins.add((doc, start, length, zlib.crc32(own), total, own if emit_ids else b""))
-                        if full:
-                            place(full)
+                    for full in bins.add(Piece(doc, ids, 0, len(ids) // 4)):
+                        place(full)
                 if rows:
                     yield out()
         for pieces in bins.close():

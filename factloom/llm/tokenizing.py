@@ -1,16 +1,13 @@
-"""Whole-text encoding with a public tokenizer file, sped up by remembering what stands between blanks.
+"""Whole-text encoding with a public tokenizer file.
 
-For the two pre-tokenizers used here a text's ids are the ids of its chunks, one after another:
+Two kinds of file have a faster way than the library, which tests hold against it:
 
 * blanks dropped (``\\s+`` becomes a space, words are matched, the rest is removed): every blank
-  separates words, and normalisation (NFC, lower case by character) does not reach across blanks; in
-  texts of Latin letters only, the chunks are the words themselves;
-* byte-level with the usual pattern: a space before a non-blank begins a new word, if no blank
-  stands before that space.  Texts with other blank runs are encoded whole.
-
-Only a chunk's ids are kept, in a bounded cache.  Chunks are encoded by the tokenizers library itself, or,
-byte-level ones of Latin letters and below, by tiktoken's faster merge loop over the same vocabulary
-(tests hold both against each other).
+  separates words, and normalisation (NFC, lower case by character) does not reach across blanks, so a text's ids
+  are those of its chunks, one after another; in texts of Latin letters only, the chunks are the words
+  themselves.  Chunks' ids are remembered in a bounded cache;
+* byte-level with the usual pattern: texts of Latin letters go through tiktoken's merge loop over the same
+  vocabulary, which beats remembering chunks.
 """
 
 from __future__ import annotations
@@ -18,14 +15,13 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
-#: Cached chunks per worker and cache, about 50 MB; beyond it only those of the texts at hand stay.
+#: Cached chunks per worker, about 40 MB; as many older ones are kept until the next time it is full.
 CACHE_CHUNKS = 200_000
-#: The same for words without what surrounds them, which are shorter: about 80 MB.
-CACHE_WORDS = 400_000
 #: How the usual byte-level pre-tokenizer splits.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,22 +38,30 @@ def library_tokenizer(path: str):
 
 def as_bytes(ids: Sequence[int]) -> bytes:
     """Little-endian unsigned 32-bit."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 class ChunkCache:
-    """chunk -> ids as little-endian unsigned 32-bit bytes, filled by ``encode`` for many chunks at once."""
+    """chunk -> ids as little-endian unsigned 32-bit bytes, filled by ``encode`` for many chunks at once.
+
+    Two generations: a full one becomes the older one, from which chunks return as they are met.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_CHUNKS):
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.encode, self.limit = encode, limit
 
     def learn(self, chunks: set[str]) -> None:
         missing = {c for c in chunks if c not in self.known}
         if len(self.known) + len(missing) > self.limit:
-            self.known = {c: self.known[c] for c in chunks if c in self.known}
+            self.older, self.known = self.known, {c: self.known[c] for c in chunks if c in self.known}
         if missing:
-            wanted = list(missing)
+            self.known.update((c, self.older[c]) for c in missing if c in self.older)
+            wanted = [c for c in missing if c not in self.older]
             self.known.update(zip(wanted, self.encode(wanted), strict=True))
 
     def join(self, chunks: list[str]) -> bytes:
@@ -81,7 +85,7 @@ class DroppedBlanks:
     """
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], special: Iterable[str]):
-        self.cache = ChunkCache(encode_chunks, CACHE_WORDS)
+        self.cache = ChunkCache(encode_chunks)
         self.special = list(special)
 
     def _cut(self, text: str) -> list[str]:
@@ -111,7 +115,7 @@ def in_byte_letters(word: str) -> str:
     return word.encode().decode("latin-1").translate(LETTER_OF_BYTE)
 
 
-def merge_loop(spec: dict):
+def merge_loop(spec: dict, pattern: str):
     """tiktoken's encoder for a byte-level file whose merges rank as their ids do; None for other files."""
     import tiktoken
 
@@ -121,36 +125,32 @@ def merge_loop(spec: dict):
     if merged != sorted(merged) or model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("dropout"):
         return None
     ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-class SpacedBytes:
-    """Encoder for byte-level files: chunks are what follows a single space."""
+class ByteLevel:
+    """Encoder for byte-level files: texts of Latin letters whole by the merge loop, others by the library."""
 
-    #: A space that does not begin a word for certain.
-    UNSURE = re.compile(r"\s (?=\S)| (?:\s|\Z)|[\x1c-\x1f]")
+    #: What keeps a text from the merge loop: letters beyond Latin ones and usual punctuation, and the separators
+    #: that only some count as blanks.
+    OTHERS = re.compile("[\x1c-\x1f\u0300-\u200f\u2028-\u202f\u205f-\U0010ffff]")
+    #: In texts without blank runs no look ahead is needed, which the pattern engine is slow at.
+    BLANK_RUN = re.compile(r"\s\s")
 
     def __init__(self, path: str):
         self.library = library_tokenizer(path)
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.fast = merge_loop(spec)
-        self.first, self.after = ChunkCache(self._encode_chunks), ChunkCache(lambda chunks: self._encode_chunks([" " + c for c in chunks]))
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        simple = [self.fast is not None and (c.isascii() or max(c) < "\u0300") for c in chunks]
-        rest = iter(self._encode([c for c, s in zip(chunks, simple, strict=True) if not s]))
-        return [as_bytes(self.fast.encode_ordinary(c)) if s else next(rest) for c, s in zip(chunks, simple, strict=True)]
+        self.any_blanks = merge_loop(spec, BYTE_LEVEL_PATTERN)
+        self.single_blanks = merge_loop(spec, BYTE_LEVEL_PATTERN.replace(r"\s+(?!\S)|\s+", r"\s"))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [as_bytes(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _plain(self, text: str) -> bool:
+        return self.any_blanks is not None and not self.OTHERS.search(text) and not any(s in text for s in self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [not self.UNSURE.search(t) and not any(s in t for s in self.special) for t in texts]
-        split = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        self.first.learn({c[0] for c in split if c})
-        self.after.learn(set().union(*(c[1:] for c in split)))
-        return [self.first.known[c[0]] + self.after.join(c[1:]) if p else self._encode([t])[0] for t, p, c in zip(texts, plain, split, strict=True)]
+        plain = [self._plain(t) for t in texts]
+        others = iter(self.library.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [as_bytes((self.any_blanks if self.BLANK_RUN.search(t) else self.single_blanks).encode_ordinary(t)) if p else as_bytes(next(others).ids) for t, p in zip(texts, plain, strict=True)]
 
 
 def drops_blanks(path: str) -> bool:
@@ -172,8 +172,8 @@ def drops_blanks(path: str) -> bool:
     )
 
 
-def spaced_bytes(path: str) -> bool:
-    """Whether the file is of the kind :class:`SpacedBytes` may be used for."""
+def byte_level(path: str) -> bool:
+    """Whether the file is of the kind :class:`ByteLevel` may be used for."""
     if not path.endswith(".json"):
         return False
     spec = json.load(open(path, encoding="utf-8"))
@@ -205,4 +205,4 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         library = library_tokenizer(path)
         special = [t.content for t in library.get_added_tokens_decoder().values()]
         return DroppedBlanks(lambda chunks: [as_bytes(e.ids) for e in library.encode_batch(chunks, add_special_tokens=False)], special)
-    return SpacedBytes(path) if spaced_bytes(path) else WholeTexts(path)
+    return ByteLevel(path) if byte_level(path) else WholeTexts(path)

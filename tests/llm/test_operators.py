@@ -162,6 +162,49 @@ def test_plain_latin_texts(libraries):
     assert codec(path).encode_texts(texts) == wanted and library_encoder(path)(texts) == wanted
 
 
+def test_plain_latin_bytes(libraries):
+    from factloom.llm.tokenizing import library_encoder
+
+    path, lib, rng = q.tokenizer_path("byte_bpe_50k.json"), libraries["byte_bpe_50k.json"], np.random.default_rng(3)
+    texts = [t for c in map(chr, [*range(0x310), *range(0x2000, 0x2070), 0x3000, 0x660]) for t in (c, f"a{c}b", f"1{c}{c}2", f"Ab {c}'S x{c}'ll_{c}.", f" {c} {c} a", f"{c}\n{c}  x")]
+    letters = [*map(chr, [9, 10, 13, 28, 0x85, *range(32, 127), *range(0xA0, 0x300), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]), *"'''sstrevemlld  __<|>" * 6, *" \n" * 30]
+    texts += ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(3000)] + ["ab" * 20_000, "q" * 50_000]
+    assert library_encoder(path)(texts) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_chunk_cache_generations():
+    from factloom.llm.tokenizing import ChunkCache
+
+    asked = []
+    cache = ChunkCache(lambda chunks: asked.extend(chunks) or [c.encode() for c in chunks], 4)
+    for chunks in ({"a", "b", "c"}, {"d", "e"}, {"a", "e"}, {"f", "g", "h"}, {"a"}, {str(i) for i in range(9)}):
+        cache.learn(chunks)
+        assert all(cache.known[c] == c.encode() for c in chunks)
+    assert asked.count("a") == 1 and len(cache.known) <= 9
+
+
+@pytest.mark.parametrize(("longest", "whole"), [(60, 0.7), (700, 0.85), (2048, 0.85), (9000, 0.85)])
+def test_bins(longest, whole):
+    from factloom.llm.packing import Bins, Piece, size_of
+
+    rng = np.random.default_rng(longest)
+    lengths = rng.integers(1, longest + 1, 3000).tolist()
+    bins = Bins(2048)
+    full = [x for i, n in enumerate(lengths) for x in bins.add(Piece(i, b"", 0, n))]
+    last = list(bins.close())
+    assert all(size_of(x) == 2048 for x in full) and all(size_of(x).bit_count() == 1 for x in last) and sum(size_of(x) < 2048 for x in last) <= 11
+    pieces = sorted((p.doc, p.start, p.length) for x in full + last for p in x)
+    ends = [0] * len(lengths)
+    for doc, start, length in pieces:
+        assert start == ends[doc] and length > 0
+        ends[doc] += length
+    assert ends == lengths
+    count = Counter(p[0] for p in pieces)
+    short = [i for i, n in enumerate(lengths) if n <= 2048]
+    assert sum(count[i] == 1 for i in short) >= whole * len(short)
+    assert not list(Bins(2048).close())
+
+
 def test_trie_equals_merging():
     from factloom.llm.bpe_trie import TrieBpe
 
