@@ -5,7 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests in one process) a temporary folder is made and set.
+    Where that setting is absent a temporary folder is made and set, if all runs on one machine; elsewhere this raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="factloom-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -36,9 +39,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scratch_folders: set[str] = set()
+
+
+def _in_store(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, target = _in_store(spark, path)
+    return store.exists(target)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; unique, so reruns never meet half-written output."""
-    return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; unique, so reruns never meet half-written output.  Goes when the session's JVM does."""
+    folder = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+    if folder not in _scratch_folders:
+        store, target = _in_store(spark, folder)
+        store.mkdirs(target)
+        store.deleteOnExit(target)
+        _scratch_folders.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,14 +68,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.scratch = path
+    return again
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path through Hadoop's file system, whichever store holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def remove(table: DataFrame) -> None:
+    """Deletes what ``written`` wrote, once nothing that is still to run reads it."""
+    store, target = _in_store(table.sparkSession, table.scratch)
+    store.delete(target, True)
 
 
 def whole_text(text_col: str = "text") -> Column:
@@ -61,6 +84,38 @@ def whole_text(text_col: str = "text") -> Column:
     return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
 
+@dataclass(frozen=True)
+class Numbered:
+    """A table whose columns are named c0, c1, ... inside an operator, so no input name can clash with the operator's own."""
+
+    inner: DataFrame
+    names: tuple[str, ...]
+
+    def inner_name(self, name: str) -> str:
+        """Of the column of that name; letter case decides only between several."""
+        found = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"no column {name}")
+        return f"c{found[0]}"
+
+    def of(self, name: str) -> Column:
+        return F.col(self.inner_name(name))
+
+    def without(self, replaced: Iterable[str]) -> list[str]:
+        """Inner names of the columns that no result column replaces."""
+        taken = {n.lower() for n in replaced}
+        return [f"c{i}" for i, n in enumerate(self.names) if n.lower() not in taken]
+
+    def restored(self, df: DataFrame, kept: list[str] | None = None, **added: Column) -> DataFrame:
+        """The columns (those in ``kept``) under their own names again, and the ``added`` ones."""
+        kept = [f"c{i}" for i in range(len(self.names))] if kept is None else kept
+        return df.select(*(F.col(c).alias(self.names[int(c[1:])]) for c in kept), *(value.alias(name) for name, value in added.items()))
+
+
+def numbered(df: DataFrame) -> Numbered:
+    return Numbered(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), tuple(df.columns))
+
+
 def fold_ascii(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)
@@ -92,6 +147,26 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def map_texts(df: DataFrame, added: dict[str, T.DataType], worker: Callable[[], Callable[[list], list[pa.Array]]], *, text_col: str = "text", keep_text: bool = True, as_bytes: bool = False) -> DataFrame:
+    """``df`` with the ``added`` columns, which ``worker()`` (called once a task) gives for a list of texts; null counts as empty.
+
+    Input columns named like an added one are replaced.
+    """
+    own = numbered(df)
+    kept = [c for c in own.without(added) if keep_text or c != own.inner_name(text_col)]
+    text = F.coalesce(own.of(text_col), F.lit(""))
+    source = own.inner.select(*kept, (text.cast("binary") if as_bytes else text).alias("text"))
+    schema = T.StructType([*(f for f in source.schema if f.name != "text"), *(T.StructField(k, v) for k, v in added.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_texts = worker()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *of_texts(part.column(len(kept)).to_pylist())], names=schema.names)
+
+    return own.restored(map_batches(source, run, schema), kept, **{k: F.col(k) for k in added})
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

