@@ -11,14 +11,15 @@ Defined results
 * null text counts as empty: no ids, decoded text ``""``;
 * special strings inside a text become their ids, as the library does by default;
 * repeated rows, ties, null ids: every row is encoded by itself; an empty table gives an empty result;
-* input columns named ``ids``, ``n_tokens`` or ``decoded`` are replaced.
+* very long texts: encoded whole, one slice of rows at a time; words of any length are walked without recursion;
+* input columns named ``ids``, ``n_tokens`` or ``decoded`` are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, map_batches, slices, whole_text
+from .common import map_batches, map_texts, numbered, slices
 from .tokenizing import LATIN_WORDS, DroppedBlanks, as_bytes, drops_blanks, in_byte_letters, library_tokenizer, plain_latin
 
 #: Words beyond this many letters are walked prefix by prefix; in shorter ones a prefix asks for those before it.
@@ -182,35 +183,32 @@ def codec(path: str) -> BpeCodec:
 
 def bpe_encode(df: DataFrame, tokenizer_path: str, *, text_col: str = "text", decode: bool = False, keep_text: bool = True) -> DataFrame:
     """``df`` with ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and, if asked for, ``decoded``."""
-    added = {k: v for k, v in ADDED.items() if decode or k != "decoded"}
-    carry = [c for c in df.columns if c.lower() not in ADDED and (keep_text or c != text_col)]
-    source = df.select(*(F.col(f"`{c}`") for c in carry), whole_text(text_col).alias("__text"))
-    schema = T.StructType([*(f for f in source.schema if f.name != "__text"), *(T.StructField(k, v) for k, v in added.items())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = codec(tokenizer_path)
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                ids = worker.encode_texts(column(part, "__text"))
-                arrays = [part.column(i) for i in range(len(carry))]
-                arrays += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                if decode:
-                    arrays.append(pa.array(map(worker.decode, ids), pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+    def worker() -> Callable[[list[str]], list[pa.Array]]:
+        own = codec(tokenizer_path)
+
+        def coded(texts: list[str]) -> list[pa.Array]:
+            ids = own.encode_texts(texts)
+            decoded = [pa.array(map(own.decode, ids), pa.string())] if decode else []
+            return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *decoded]
+
+        return coded
 
-    return map_batches(source, run, schema)
+    return map_texts(df, {k: v for k, v in ADDED.items() if decode or k != "decoded"}, worker, text_col=text_col, keep_text=keep_text)
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the text of ``ids_col`` (null: empty)."""
-    kept = [c for c in df.columns if c.lower() != "decoded"]
-    source = df.select(*(F.col(f"`{c}`") for c in kept))
-    at = kept.index(ids_col)
+    own = numbered(df)
+    kept = own.without(["decoded"])
+    at = kept.index(own.inner_name(ids_col))
+    source = own.inner.select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = codec(tokenizer_path)
         for batch in batches:
-            for part in slices(batch, ids_col):
+            for part in slices(batch, kept[at]):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([worker.decode(x or b"") for x in part.column(at).to_pylist()], pa.string())], names=[*kept, "decoded"])
 
-    return map_batches(source, run, T.StructType([*source.schema, T.StructField("decoded", T.StringType())]))
+    decoded = map_batches(source, run, T.StructType([*source.schema, T.StructField("decoded", T.StringType())]))
+    return own.restored(decoded, kept, decoded=F.col("decoded"))

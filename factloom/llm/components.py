@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,11 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        # written, the least ones bring no partitioning of their own: adaptive execution may split a hub's edges in the join
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-stars")
+        below = written(large.groupBy("a").agg(F.min("b").alias("m")), "below")
         small = large.join(below, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        done, now = now, written(small.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        for table in (done, least, large, below):
+            remove(table)
         before, state = state, _state(now)
         if before == state:
             break

@@ -11,7 +11,9 @@ Defined results
 * a line that is blank or whose key is short always stays;
 * null id: such rows count together as one document, smaller than every other id;
 * repeated rows (same id and text) each get the same result;
-* empty table: empty result; input columns named like a result column are replaced.
+* ties: of documents that share a line the one with the largest id keeps it, all its copies of the line;
+* very long texts: their lines are exploded like all others, and only the dropped positions come back;
+* empty table: empty result; input columns named like a result column are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fold_ascii, whole_text, written
+from .common import BLANKS, fold_ascii, numbered, written
 
 RESULTS = ("n_lines", "n_dropped")
 
@@ -41,13 +43,11 @@ def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
 
 def line_dedup(df: DataFrame, *, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the shared lines gone from its text, and ``n_lines`` and ``n_dropped`` added."""
-    carry = [c for c in df.columns if c.lower() not in RESULTS]
-    docs = df.select(
-        *(whole_text(c).alias(c) if c == text_col else F.col(f"`{c}`") for c in carry),
-        F.col(f"`{id_col}`").alias("__id"),
-        F.xxhash64(whole_text(text_col)).alias("__th"),
-    )
-    text = F.col(f"`{text_col}`")
+    own = numbered(df)
+    carry = own.without(RESULTS)
+    at = own.inner_name(text_col)
+    text = F.col(at)
+    docs = own.inner.withColumn(at, F.coalesce(text, F.lit(""))).withColumn("__id", own.of(id_col)).withColumn("__th", F.xxhash64(at))
     lines = (
         docs.select("__id", "__th", F.posexplode(F.split(text, "\n")).alias("__pos", "__line"))
         .select("__id", "__th", "__pos", line_key(F.col("__line")).alias("__key"))
@@ -75,8 +75,9 @@ def line_dedup(df: DataFrame, *, min_chars: int = 20, min_docs: int = 3, id_col:
 
     # a one-element transform() binds the split lines once for the lambda
     kept = F.when(F.col("__cut").isNull(), text).otherwise(F.element_at(F.transform(F.array(F.split(text, "\n")), between), 1))
-    return joined.select(
-        *(kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in carry),
-        (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines"),
-        F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.size("__cut")).cast("long").alias("n_dropped"),
+    return own.restored(
+        joined.withColumn("__kept", kept).withColumn("__text", text).drop(at).withColumnRenamed("__kept", at),
+        carry,
+        n_lines=(F.length("__text") - F.length(F.translate("__text", "\n", "")) + 1).cast("long"),
+        n_dropped=F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.size("__cut")).cast("long"),
     )

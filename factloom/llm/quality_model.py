@@ -6,7 +6,8 @@ Defined results
 * rows with a null label, or a null id in the labels, teach nothing; several labels of an id: the largest counts;
 * null ids in documents are scored; repeated rows get equal scores;
 * no labelled rows, or one label only: the share of label 1 is everyone's score;
-* empty table: empty result; input columns named ``score`` or ``predicted`` are replaced.
+* very long texts: measured whole, one slice of rows at a time;
+* empty table: empty result; input columns named ``score`` or ``predicted`` are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, slices, whole_text
+from .common import map_batches, map_texts, slices, whole_text
 from .gam import Gam, fit_gam
 from .labelled import label_sample
 
@@ -58,8 +59,8 @@ def measure(text: bytes) -> tuple[float, ...]:
     )
 
 
-def _measured(part: pa.RecordBatch, at: int) -> np.ndarray:
-    return np.array([measure(t) for t in part.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+def measured(texts: list[bytes]) -> np.ndarray:
+    return np.array([measure(t) for t in texts]).reshape(-1, len(FEATURES))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Gam:
@@ -71,7 +72,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_measured(part, 1).tolist(), pa.list_(pa.float64()))], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(measured(part.column(1).to_pylist()).tolist(), pa.list_(pa.float64()))], names=["label", "x"])
 
     rows = map_batches(taught, run, "label int, x array<double>").collect()  # bounded by sample_rows
     order = sorted((tuple(r["x"]), r["label"]) for r in rows)  # whichever task came first
@@ -80,14 +81,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str
 
 def score_quality(df: DataFrame, model: Gam, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with ``score`` and ``predicted``."""
-    carry = [c for c in df.columns if c.lower() not in ("score", "predicted") and (keep_text or c != text_col)]
-    source = df.select(*(F.col(f"`{c}`") for c in carry), whole_text(text_col).cast("binary").alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                score = model.predict(_measured(part, len(carry)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*carry, "score", "predicted"])
+    def scored(texts: list[bytes]) -> list[pa.Array]:
+        score = model.predict(measured(texts))
+        return [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
 
-    kind = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return map_batches(source, run, kind)
+    return map_texts(df, {"score": T.DoubleType(), "predicted": T.IntegerType()}, lambda: scored, text_col=text_col, keep_text=keep_text, as_bytes=True)

@@ -9,7 +9,8 @@ Defined results
 * null or empty text: no words, all measurements zero; it fails ``too_few_words``;
 * a text with fewer than five words has no window, hence no repeated words;
 * ties, repeated rows, null ids: every row is judged by itself;
-* empty table: empty ledger; input columns named like a ledger column are replaced.
+* very long texts: measured whole, in arrays of their words;
+* empty table: empty ledger; input columns named like a ledger column are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, whole_text
+from .common import BLANKS, numbered
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -79,12 +80,12 @@ def repeated_lines(text: Column) -> Column:
 
 def rule_ledger(df: DataFrame, *, text_col: str = "text", rules: dict[str, str] = RULES) -> DataFrame:
     """``df`` with the measurements and ``fail_bits``."""
-    taken = {*MEASURES, "fail_bits"}
-    carry = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
-    text = whole_text(text_col)
+    own = numbered(df)
+    carry = own.without([*MEASURES, "fail_bits"])
+    text = F.coalesce(own.of(text_col), F.lit(""))
     words = F.split(F.btrim(text, F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
     some = F.btrim(text, F.lit(BLANKS)) != ""
-    measured = df.select(
+    measured = own.inner.select(
         *carry,
         F.when(some, F.size(words)).otherwise(0).cast("long").alias("n_words"),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
@@ -97,16 +98,17 @@ def rule_ledger(df: DataFrame, *, text_col: str = "text", rules: dict[str, str]
     total = bits[0]
     for bit in bits[1:]:
         total = total.bitwiseOR(bit)
-    return measured.withColumn("fail_bits", total.cast("long"))
+    # the measurements are computed once, below the rules that read them
+    return own.restored(measured, carry, **{m: F.col(m) for m in MEASURES}, fail_bits=total.cast("long"))
 
 
 def policy_mask(policy: str, rules: dict[str, str] = RULES) -> int:
     return sum(1 << bit for bit, name in enumerate(rules) if name in POLICIES[policy])
 
 
-def apply_policy(ledger: DataFrame, policy: str) -> DataFrame:
-    """The ledger with ``kept`` under the policy."""
-    return ledger.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy_mask(policy)).cast("long")) == 0)
+def apply_policy(ledger: DataFrame, policy: str, rules: dict[str, str] = RULES) -> DataFrame:
+    """The ledger with ``kept`` under the policy; ``rules``: those that the ledger was made with."""
+    return ledger.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy_mask(policy, rules)).cast("long")) == 0)
 
 
 def ablations(ledger: DataFrame, policy: str, rules: dict[str, str] = RULES) -> DataFrame:

@@ -5,34 +5,32 @@ its embedding is the vector of bit counts per segment.  The Manhattan distance o
 is never above the Hamming distance of the fingerprints.  Counts are written in unary (00, 01,
 11), so the whole embedding is one 64-bit number and the Manhattan distance one bit count.
 
-Grid range-join: with at most two differing bits, of three bands of segments one has equal counts.
-Each distinct fingerprint lies in one grid cell per band, and only fingerprints of a cell meet; there the
-Manhattan bound, then the exact Hamming distance decide, both inside the join.
+Grid range-join: with at most two differing bits, of three bands of segments one has equal counts, and of
+six bands four have.  Each distinct fingerprint lies in one grid cell per band, and only fingerprints of a cell meet;
+there the Manhattan bound, then the exact Hamming distance decide, both inside the join.  Cells above
+``hot_cell`` fingerprints are refined: their fingerprints meet in the 15 cells of four of six bands instead, which
+hold about one in a billion of all.
 
-Cells above ``hot_cell`` fingerprints would make a square of pairs.  Their fingerprints are
-linked exactly in another way, linear in their number: two fingerprints differ in at most two
-bits if and only if some number is within one bit of both, so each is dealt to itself and its 64
-neighbours, and whoever meets there is linked to the least.
+What is still above ``hot_cell`` is a dense cluster, where the grid would make a square of pairs.  Its fingerprints are
+linked exactly, in linear time: two fingerprints differ in at most two bits if and only if some number is within one bit of
+both, so each is dealt to itself and its 64 neighbours, and whoever meets there is linked to the least.
 
 Only distinct fingerprints are joined; a third of all rows being copies makes no difference.
 
-``near_copies`` links documents by the Jaccard similarity of their sets of shingles instead, as two bits are too
-few for that.  Equal sets are one node.  Nodes meet in ``BANDS_OF`` bands of ``ROWS_OF`` min-hashes (a pair of
-similarity 0.8 in 99.8 % of the cases); fingerprints more than ``bits`` bits apart and sizes that cannot
-reach the similarity part them, then the sets themselves decide, so nothing dissimilar is linked.  In groups
-above ``hot_cell`` each node meets ``PIVOTS`` of them, the same ones in every band with the same nodes.
-
 Defined results
 ---------------
 * null text counts as empty; no words: fingerprint zero, linked like any other;
 * fewer words than a shingle has: the whole sequence is the one shingle;
+* very long texts: hashed whole, in blocks of shingles;
 * repeated rows get equal results; a null id is never a component's id unless all its ids are null;
-* empty table: empty result; ties between hash bits (exactly half) give 0.
+* empty table: empty result; ties between hash bits (exactly half) give 0;
+* input columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +43,20 @@ from .components import components
 
 SEED = 42
 MAX_BITS = 2
-#: 64 bits in three bands of whole segments: 11, 11 and 10 of them.
-BANDS = ((1 << 22) - 1, ((1 << 22) - 1) << 22, ((1 << 20) - 1) << 44)
+SEGMENTS = 32
 LOW_BITS = 0x5555555555555555
 _CHUNK = 1 << 15
-#: Bands, and min-hashes a band, in which near copies meet; nodes that the others of a large group meet.
-BANDS_OF, ROWS_OF, PIVOTS = 16, 5, 4
-_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS_OF * ROWS_OF, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(n: int) -> list[int]:
+    """Masks of ``n`` bands of whole segments."""
+    edges = [2 * (SEGMENTS * i // n) for i in range(n + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+#: Two bits touch at most two bands: one of three, or four of six, stay whole.
+COARSE = bands(MAX_BITS + 1)
+FINE = [sum(some) for some in combinations(bands(3 * MAX_BITS), 2 * MAX_BITS)]
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -83,19 +88,6 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def bands_of(distinct: np.ndarray) -> np.ndarray:
-    """One number a band, equal for sets whose least hashes are equal in all the band's rows."""
-    import xxhash
-
-    if not len(distinct):
-        return np.zeros(BANDS_OF, np.uint64)
-    least = np.full(len(_MULTIPLIERS), (1 << 64) - 1, np.uint64)
-    for at in range(0, len(distinct), 1 << 12):
-        mixed = distinct[None, at : at + (1 << 12)] * _MULTIPLIERS[:, None]
-        least = np.minimum(least, mixed.min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in least.reshape(BANDS_OF, ROWS_OF)], np.uint64)
-
-
 def fingerprints(df: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``fp``, the fingerprint as a signed 64-bit number."""
     source = df.select(F.col(f"`{id_col}`").alias(id_col), whole_text(text_col).cast("binary").alias("__text"))
@@ -119,18 +111,17 @@ def embedding(fp: Column) -> Column:
     return fp.bitwiseOR(up).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(up).bitwiseAND(low), 1))
 
 
-def links(distinct: DataFrame, *, hot_cell: int = 64) -> DataFrame:
-    """Edges (``a``, ``b``) that connect all of the distinct fingerprints ``fp`` within two bits of each other.
+def _cells(embedded: DataFrame, masks: list[int], name: str) -> DataFrame:
+    """Fingerprints (``fp``, ``e``) by ``band`` and ``cell``, with the cell's size ``n``; cells of one are left out."""
+    placed = embedded.select("fp", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(_signed(m)) for m in masks))).alias("band", "cell"))
+    # written, the sizes bring no partitioning of their own: adaptive execution may split a large cell in the join
+    sizes = written(placed.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-sizes")
+    return written(placed.join(sizes, ["band", "cell"]), name)
 
-    Pairs in cells of at most ``hot_cell`` are given directly; in larger ones enough edges are given to
-    connect the same fingerprints.
-    """
-    embedded = distinct.select("fp", embedding(F.col("fp")).alias("e"))
-    cells = embedded.select("fp", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(_signed(b)) for b in BANDS))).alias("band", "cell"))
-    sizes = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = written(cells.join(sizes, ["band", "cell"]), "cells")
-    few = sized.where(F.col("n") <= hot_cell)
-    x, y = few.alias("x"), few.alias("y")
+
+def _near(cells: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) within the cells."""
+    x, y = cells.alias("x"), cells.alias("y")
     near = (
         (F.col("x.band") == F.col("y.band"))
         & (F.col("x.cell") == F.col("y.cell"))
@@ -138,13 +129,23 @@ def links(distinct: DataFrame, *, hot_cell: int = 64) -> DataFrame:
         & (F.bit_count(F.col("x.e").bitwiseXOR(F.col("y.e"))) <= MAX_BITS)
         & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_BITS)
     )
-    pairs = x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    # each fingerprint in a hot cell, dealt to all numbers within one bit of it
+    return x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+
+def links(distinct: DataFrame, *, hot_cell: int = 64) -> DataFrame:
+    """Edges (``a``, ``b``) that connect all of the distinct fingerprints ``fp`` within two bits of each other.
+
+    Pairs in cells of at most ``hot_cell`` are given directly; in dense clusters enough edges are given to
+    connect the same fingerprints.
+    """
+    coarse = _cells(distinct.select("fp", embedding(F.col("fp")).alias("e")), COARSE, "cells")
+    fine = _cells(coarse.where(F.col("n") > hot_cell).select("fp", "e").distinct(), FINE, "fine-cells")
+    # each fingerprint of a dense cluster, dealt to all numbers within one bit of it
     around = F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(_signed(1 << i)) for i in range(64))))
-    dealt = sized.where(F.col("n") > hot_cell).select("fp").distinct().select("fp", around.alias("centre"))
-    least = dealt.groupBy("centre").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = fine.where(F.col("n") > hot_cell).select("fp").distinct().select("fp", around.alias("centre"))
+    least = written(dealt.groupBy("centre").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "centres")
     met = dealt.join(least, "centre").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(met)
+    return _near(coarse.where(F.col("n") <= hot_cell)).unionByName(_near(fine.where(F.col("n") <= hot_cell))).unionByName(met)
 
 
 def near_dedup(df: DataFrame, *, shingle: int = 3, hot_cell: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,90 +154,10 @@ def near_dedup(df: DataFrame, *, shingle: int = 3, hot_cell: int = 64, id_col: s
     least = prints.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least"))
     roots = components(links(least.select("fp"), hot_cell=hot_cell))
     of_fp = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_root = written(of_fp.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     ids = of_fp.join(of_root, "root").select(F.col("fp").alias("__fp"), "component_id")
     return prints.join(ids, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
 def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def shingle_sets(df: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``node`` (equal for equal sets of shingles), ``fp``, ``n`` shingles, ``bands`` and the sorted ``hashes``."""
-    source = df.select(F.col(f"`{id_col}`").alias(id_col), whole_text(text_col).cast("binary").alias("__text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                all_of = [shingle_hashes(t, shingle) for t in part.column(1).to_pylist()]
-                fps = np.array([majority(h) for h in all_of], np.uint64).view(np.int64)
-                sets = [np.unique(h) for h in all_of]
-                nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-                bands = [bands_of(h).view(np.int64) for h in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes), pa.array(fps), pa.array([len(h) for h in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([h.tobytes() for h in sets], pa.binary())],
-                    names=[id_col, "node", "fp", "n", "bands", "hashes"],
-                )
-
-    fields = [("node", T.LongType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType())), ("hashes", T.BinaryType())]
-    return map_batches(source, run, T.StructType([T.StructField(id_col, source.schema[0].dataType), *(T.StructField(n, t) for n, t in fields)]))
-
-
-def candidates(nodes: DataFrame, *, similarity: float, bits: int, hot_cell: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of ``nodes`` that share a band and can be as similar as that."""
-    cells = nodes.select("node", "fp", "n", F.posexplode("bands").alias("band", "cell"))
-    pivot = lambda seed: F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "fp", "n"))
-    sizes = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = written(cells.join(sizes, ["band", "cell"]), "cells")
-    can = lambda x, y: (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= bits)
-    ends = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
-    few = sized.where(F.col("size") <= hot_cell).select("band", "cell", "node", "fp", "n")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node"))
-    pairs = few.alias("x").join(few.alias("y"), same & can("x", "y")).select(*ends("x", "y"))
-    hot = sized.where(F.col("size") > hot_cell).select("band", "cell", "node", "fp", "n")
-    pivots = hot.groupBy("band", "cell").agg(F.array(*map(pivot, range(PIVOTS))).alias("pivots"))
-    met = hot.join(pivots, ["band", "cell"]).select(F.struct("node", "fp", "n").alias("x"), F.explode("pivots").alias("y")).where((F.col("x.node") != F.col("y.node")) & can("x", "y")).select(*ends("x", "y"))
-    return pairs.unionByName(met).distinct()
-
-
-def verified(pairs: DataFrame, similarity: float) -> DataFrame:
-    """``a`` and ``b`` of the rows whose sets ``of_a`` and ``of_b`` are that similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("of_a", "of_b"))
-            keep = []
-            for one, two in zip(x, y, strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), "<u8") for v in (one, two))
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(shared >= similarity * (len(one) + len(two) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return map_batches(pairs.select("a", "b", "of_a", "of_b"), run, "a long, b long")
-
-
-def near_copies(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 24, hot_cell: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id and ``component_id``, the least id that links of at least ``similarity`` lead to."""
-    sets = written(shingle_sets(df, shingle=shingle, id_col=id_col, text_col=text_col), "shingle-sets")
-    nodes = sets.groupBy("node").agg(F.min(f"`{id_col}`").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    pairs = written(candidates(nodes, similarity=similarity, bits=bits, hot_cell=hot_cell), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # of equal sets one, before they meet the pairs
-    held = written(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "wanted-sets")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
-    roots = components(verified(both, similarity)).withColumnRenamed("node", "of")
-    of_node = nodes.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = of_node.join(of_node.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return sets.select(id_col, "node").join(ids, "node").drop("node")
-
-
-def keep_one(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of near copies the rows of ``df`` with its least id; of repeated rows one."""
-    found = near_copies(df, shingle=shingle, similarity=similarity, bits=bits, id_col=id_col, text_col=text_col)
-    keep = found.where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("__id")).distinct()
-    kept = df.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col])

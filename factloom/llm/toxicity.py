@@ -14,7 +14,9 @@ Defined results
 * rows with a null label, or a null id in the labels, teach nothing; several labels of an id: the largest counts;
 * null ids in documents are scored; repeated rows get equal scores;
 * no labelled rows, or one label only: the share of label 1 is everyone's score;
-* empty table: empty result; input columns named like a result column are replaced.
+* very long texts: every word is looked at; a worker holds one slice of rows;
+* copies of a text whose labels disagree count once, with the largest label;
+* empty table: empty result; input columns named like a result column are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, slices, whole_text, written
+from .common import map_batches, map_texts, slices, whole_text, written
 from .labelled import label_sample
 
 #: Most labelled rows the model is fitted on, candidates looked at, and lexicon entries.
@@ -296,7 +298,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, label: st
     sample = label_sample(labels, label, learn, sample_rows, id_col)
     taught = docs.select(F.col(f"`{id_col}`").alias("__id"), whole_text(text_col).alias("__text")).join(F.broadcast(sample), F.col("__id") == F.col("__lid"))
     # copies count once, and in one half
-    taught = written(taught.select(F.col("__label").alias("label"), F.pmod(F.xxhash64("__text"), F.lit(2)).cast("int").alias("half"), "__text").dropDuplicates(["__text"]), "taught")
+    taught = written(taught.groupBy("__text").agg(F.max("__label").alias("label")).select("label", F.pmod(F.xxhash64("__text"), F.lit(2)).cast("int").alias("half"), "__text"), "taught")
     sizes = {(r["label"] == 1, r["half"]): r["n"] for r in taught.groupBy("label", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = {k: sizes.get(k, 0) for k in ((True, 0), (True, 1), (False, 0), (False, 1))}
     n_toxic, n_other = n[True, 0] + n[True, 1], n[False, 0] + n[False, 1]
@@ -323,14 +325,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, label: st
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with ``score`` and ``predicted``."""
-    carry = [c for c in df.columns if c.lower() not in ("score", "predicted") and (keep_text or c != text_col)]
-    source = df.select(*(F.col(f"`{c}`") for c in carry), whole_text(text_col).alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                score = model.score(part.column(len(carry)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*carry, "score", "predicted"])
+    def scored(texts: list[str]) -> list[pa.Array]:
+        score = model.score(texts)
+        return [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
 
-    kind = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return map_batches(source, run, kind)
+    return map_texts(df, {"score": T.DoubleType(), "predicted": T.IntegerType()}, lambda: scored, text_col=text_col, keep_text=keep_text)

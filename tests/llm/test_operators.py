@@ -94,7 +94,7 @@ def test_quality_rules_awkward(docs, empty):
     assert ablations(ledger, "base").count() == 2 and rule_ledger(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot_cell", [64, 1])
+@pytest.mark.parametrize("hot_cell", [64, 1, 0])
 def test_simhash(spark, docs, empty, table, hot_cell):
     from factloom.llm.simhash import near_dedup
 
@@ -350,7 +350,7 @@ def test_pipeline(spark):
 
 
 def test_near_copies_against_exact_similarity(spark):
-    from factloom.llm.simhash import near_copies
+    from factloom.llm.near_copies import near_components
 
     rng = np.random.default_rng(5)
     rows = []
@@ -377,8 +377,9 @@ def test_near_copies_against_exact_similarity(spark):
         ids[g] = min((x for x in (ids.get(g), i) if x is not None), default=None)
     expected = {i: ids[g] for (i, _), g in zip(rows, group, strict=True)}
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r["doc_id"]: r["component_id"] for r in near_copies(frame).collect()} == expected
-    assert len(set(expected.values())) < len(rows) / 2 and near_copies(frame.where("false")).count() == 0
+    for limits in ({}, {"small": 2, "middle": 8}):
+        assert {r["doc_id"]: r["component_id"] for r in near_components(frame, **limits).collect()} == expected
+    assert len(set(expected.values())) < len(rows) / 2 and near_components(frame.where("false")).count() == 0
 
 
 def test_covered_words_stay_sought():
