@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", help="folder for CSV output; goes before --json")
     p.add_argument("--json", action="store_true")
     p.add_argument("--max-pages", type=int, default=fixed.MAX_PAGES)
-    p.add_argument("--fetch", action="store_true", help="fetch home pages and usual pages into the store first")
+    p.add_argument("--fetch", action="store_true", help="first fetch into the store what the sites lack in it: home pages, linked or usual contact and team pages")
     p.add_argument("--timeout", type=float, default=15)
     p.add_argument("--delay", type=float, default=1.0)
     p.add_argument("--ignore-robots", action="store_true")

@@ -48,6 +48,7 @@ DAYS = {
     "sa": "Sábado", "saturday": "Sábado", "su": "Domingo", "sunday": "Domingo",
 }
 COMPACT_HOURS = r"\b(Mo|Tu|We|Th|Fr|Sa|Su)(?:-(Mo|Tu|We|Th|Fr|Sa|Su))?\s+(\d{1,2}:\d{2})-(\d{1,2}:\d{2})"
+META_CITY = r"geo.placename$"
 ITEMPROPS = ("addressLocality", "addressRegion", "addressCountry", "telephone")
 
 # --- fixed values: hours in text ----------------------------------------------------------------
@@ -126,4 +127,20 @@ W_NO_HOURS = "no se encontró un horario de atención"
 W_NO_NAMES = "no se encontraron nombres de personas (es común: muchas páginas solo listan datos de la empresa)"
 W_NO_CITY = "no se pudo determinar una ciudad probable"
 W_BAD_URL = "URL inválida: {error}"
+E_EMPTY_URL, E_BAD_URL = "empty URL", "invalid URL: "
+CHAT_LINK = r"(?i)(?:wa\.me/|whatsapp\.com/send\?phone=)(\d[\d\s\-]{5,})"
+#: Labels of the text block, and what stands for a missing value.
+LABELS = {
+    "source_url": ("URL:              ", None),
+    "contact_page_url": ("Página de contacto: ", "(no encontrada; se usó la página principal)"),
+    "team_page_url": ("Página de equipo: ", "(no encontrada)"),
+    "names": ("Nombres:          ", "(ninguno encontrado)"),
+    "phones": ("Teléfonos:        ", "(ninguno encontrado)"),
+    "hours": ("Horario:          ", "(no encontrado)"),
+    "city": ("Ciudad probable:  ", "(no determinada)"),
+    "country": ("País:             ", None),
+    "address_raw": ("Dirección (texto): ", None),
+    "warnings": ("Avisos:", None),
+}
+WARNING_MARK = "\n  - "
 CSV_COLUMNS = ("source_url", "contact_page_url", "team_page_url", "names", "phones", "hours", "city", "country", "address_raw", "warnings")

@@ -1,13 +1,18 @@
-"""schema.org JSON-LD on VARIANT values."""
+"""schema.org JSON-LD: scripts taken apart into nodes, nodes read as VARIANT values."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 from .hours import compact_hours, day_name
-from .text import filled, first_wins, let, words
+from .names import one_each
+from .text import filled, let, stripped, words
 
 ADDRESS = "struct<locality:string,region:string,country:string,raw:string>"
 
@@ -40,22 +45,35 @@ def items(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(_kind(v) != "VOID", F.array(v)), F.expr("cast(array() as array<variant>)"))
 
 
-def _unwrapped(v: Column, depth: int) -> Column:
-    """Objects in a value, each before its ``@graph``, lists flattened."""
-    if depth == 0:
-        return F.filter(items(v), is_object)
-    inner = lambda x: F.when(_kind(x).startswith("ARRAY"), _unwrapped(x, depth - 1)).otherwise(
-        F.when(is_object(x), F.concat(F.array(x), _unwrapped(at(x, "@graph"), depth - 1))).otherwise(F.expr("cast(array() as array<variant>)"))
-    )
-    return F.flatten(F.transform(items(v), inner))
+def node_texts(script: str) -> list[str]:
+    """The objects of a script body as JSON, each before those of its ``@graph``, lists flattened to any depth.
+
+    A malformed body gives none; of repeated keys the last counts; what is no number is null.
+    """
+    try:
+        left = [json.loads(script, parse_constant=lambda _: None)]
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    while left:
+        x = left.pop()
+        if isinstance(x, list):
+            left += reversed(x)
+        elif isinstance(x, dict):
+            found.append(json.dumps({k: v for k, v in x.items() if k != "@graph"}, ensure_ascii=False))
+            left.append(x.get("@graph"))
+    return found
 
 
-def nodes(scripts: Column, depth: int = 2) -> Column:
-    """All nodes of a page's script bodies, in order; malformed bodies give none.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unwrapped(scripts: pd.Series) -> pd.Series:
+    """The objects of several script bodies, see :func:`node_texts`.  The page parser takes them apart itself."""
+    return pd.Series([[n for s in (some if some is not None else ()) for n in node_texts(s or "")] for some in scripts], dtype=object)
 
-    Follows lists and ``@graph`` through ``depth`` levels below the top.
-    """
-    return F.flatten(F.transform(scripts, lambda s: let(F.try_parse_json(s), lambda v: _unwrapped(v, depth))))
+
+def nodes(texts: Column) -> Column:
+    """Nodes out of their JSON texts."""
+    return F.filter(F.transform(texts, F.try_parse_json), lambda n: n.isNotNull())
 
 
 def types(node: Column) -> Column:
@@ -97,16 +115,16 @@ def hours_spec(v: Column) -> Column:
 
 
 def _person(node: Column, any_type: bool) -> Column:
-    name = filled(F.trim(string_of(at(node, "name"))))
+    name = filled(stripped(string_of(at(node, "name"))))
     typed = F.array_contains(types(node), "person")
-    role = F.when(typed, filled(F.trim(string_of(at(node, "jobTitle")))))
+    role = F.when(typed, filled(stripped(string_of(at(node, "jobTitle")))))
     return F.when(name.isNotNull() & (F.lit(True) if any_type else F.coalesce(typed, F.lit(False))), F.struct(name.alias("name"), role.alias("role")))
 
 
 def node_people(node: Column) -> Column:
     """People a node names, in order: staff, contact points, itself."""
     staff = F.flatten(F.array(*(F.transform(F.filter(items(at(node, k)), is_object), lambda p: _person(p, True)) for k in fixed.PEOPLE_KEYS)))
-    contact_name = lambda p: filled(F.trim(string_of(at(p, "name"))))
+    contact_name = lambda p: filled(stripped(string_of(at(p, "name"))))
     points = F.transform(F.filter(items(at(node, "contactPoint")), is_object), lambda p: F.when(contact_name(p).isNotNull(), F.struct(contact_name(p).alias("name"), F.lit(None).cast("string").alias("role"))))
     none = F.expr("cast(array() as array<struct<name:string,role:string>>)")
     found = F.concat(F.when(is_business(node), F.concat(staff, points)).otherwise(none), F.array(_person(node, False)))
@@ -114,8 +132,8 @@ def node_people(node: Column) -> Column:
 
 
 def node_phones(node: Column) -> Column:
-    own = F.array(filled(F.trim(string_of(at(node, "telephone")))))
-    points = F.transform(F.filter(items(at(node, "contactPoint")), is_object), lambda p: filled(F.trim(string_of(at(p, "telephone")))))
+    own = F.array(filled(stripped(string_of(at(node, "telephone")))))
+    points = F.transform(F.filter(items(at(node, "contactPoint")), is_object), lambda p: filled(stripped(string_of(at(p, "telephone")))))
     return F.filter(F.concat(own, F.when(is_business(node), points).otherwise(F.expr("cast(array() as array<string>)"))), lambda p: p.isNotNull())
 
 
@@ -126,8 +144,7 @@ def node_hours(node: Column) -> Column:
 
 def people(all_nodes: Column) -> Column:
     """People by exact name: first position, first role given."""
-    found = F.flatten(F.transform(all_nodes, node_people))
-    return let(found, lambda ps: F.transform(first_wins(ps, lambda p: p["name"]), lambda p: F.struct(p["name"].alias("name"), F.get(F.transform(F.filter(ps, lambda q: (q["name"] == p["name"]) & q["role"].isNotNull()), lambda q: q["role"]), 0).alias("role"))))
+    return one_each(F.flatten(F.transform(all_nodes, node_people)))
 
 
 def first_address(all_nodes: Column) -> Column:

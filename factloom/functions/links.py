@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import fold_word, folded
+from .text import fold_word, folded, stripped
 
 
 def link_score(text: Column, href: Column, keywords: tuple[str, ...]) -> Column:
@@ -20,4 +20,4 @@ def link_score(text: Column, href: Column, keywords: tuple[str, ...]) -> Column:
 
 def is_link(href: Column) -> Column:
     """Not empty, no fragment, no other scheme's action."""
-    return (F.trim(href) != "") & ~F.trim(href).rlike(r"(?i)^(#|mailto:|tel:|javascript:)")
+    return (stripped(href) != "") & ~stripped(href).rlike(r"(?i)^(#|mailto:|tel:|javascript:)")

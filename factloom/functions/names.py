@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import filled, first_wins, title_case, words
+from .text import filled, first_wins, let, stripped, title_case, words
 
 #: The line after the one a match ends on, as a further group.
 NEXT_LINE = r"(?=[^\n]*(?:\n([^\n]*))?)"
@@ -15,7 +15,7 @@ FLAGS, LINES = "(?U)", "(?Umd)"
 
 def clean_name(name: Column) -> Column:
     """Shouted names in title case; null for boilerplate and companies."""
-    n = F.trim(name)
+    n = stripped(name)
     cased = F.when((F.upper(n) == n) & (F.lower(n) != n), title_case(n)).otherwise(n)
     ok = (cased != "") & ~F.lower(cased).isin(*fixed.NOT_NAMES) & ~cased.rlike(f"(?iU){fixed.COMPANY_END}")
     return F.when(ok, cased)
@@ -23,7 +23,7 @@ def clean_name(name: Column) -> Column:
 
 def clean_person_name(raw: Column) -> Column:
     """A name out of structured data: without title and decoration."""
-    bare = F.regexp_replace(F.trim(raw), rf"(?iU)^{fixed.TITLES}\s+", "")
+    bare = F.regexp_replace(stripped(raw), rf"(?iU)^{fixed.TITLES}\s+", "")
     return clean_name(F.coalesce(filled(F.regexp_substr(bare, F.lit(fixed.NAME_RUN))), bare))
 
 
@@ -51,7 +51,7 @@ def is_role(line: Column) -> Column:
 def _mentions(text: Column, pattern: str) -> Column:
     """(raw name, next line) of every match."""
     found = [F.regexp_extract_all(text, F.lit(pattern + NEXT_LINE), g) for g in (1, 2)]
-    return F.transform(F.arrays_zip(found[0].alias("n"), found[1].alias("l")), lambda x: F.struct(clean_name(x["n"]).alias("name"), F.trim(x["l"]).alias("line")))
+    return F.transform(F.arrays_zip(found[0].alias("n"), found[1].alias("l")), lambda x: F.struct(clean_name(x["n"]).alias("name"), stripped(x["l"]).alias("line")))
 
 
 def titled_names(text: Column, pattern: str = FLAGS + fixed.TITLED) -> Column:
@@ -78,5 +78,15 @@ def names_in_text(text: Column) -> Column:
     return first_wins(F.concat(titled_names(text), labelled_names(text), bare_names(text)), lambda p: p["name"])
 
 
+def one_each(mentions: Column) -> Column:
+    """People of an ordered list of mentions: the first position of a name counts, and the first role given."""
+
+    def of(ps: Column) -> Column:
+        role = lambda name: F.get(F.transform(F.filter(ps, lambda q: (q["name"] == name) & q["role"].isNotNull()), lambda q: q["role"]), 0)
+        return F.transform(first_wins(ps, lambda p: p["name"]), lambda p: F.struct(p["name"].alias("name"), role(p["name"]).alias("role")))
+
+    return let(mentions, of)
+
+
 def display(person: Column) -> Column:
     return F.when(filled(person["role"]).isNull(), person["name"]).otherwise(F.concat(person["name"], F.lit(" ("), person["role"], F.lit(")")))

@@ -24,9 +24,18 @@ def without_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"\p{M}+", "")
 
 
+#: What counts as blank at the ends of a text: all Unicode blanks and the four information separators.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def stripped(c: Column) -> Column:
+    """Without blanks at both ends."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def folded(c: Column) -> Column:
     """Accent- and case-free key."""
-    return F.trim(F.lower(without_accents(c)))
+    return stripped(F.lower(without_accents(c)))
 
 
 def fold_word(value: str) -> str:

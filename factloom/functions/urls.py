@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed
-from .text import filled, lookup, words
+from .text import filled, lookup, stripped, words
 
 
 def authority(url: Column) -> Column:
@@ -20,14 +20,14 @@ def authority(url: Column) -> Column:
 
 def normalized(url: Column) -> Column:
     """Trimmed and with a scheme; null for what is no URL."""
-    bare = F.trim(url)
+    bare = stripped(url)
     full = F.when(bare.contains("://"), bare).otherwise(F.concat(F.lit("https://"), bare))
     return F.when((bare != "") & authority(full).isNotNull(), full)
 
 
 def url_error(url: Column) -> Column:
-    bare = F.trim(F.coalesce(url, F.lit("")))
-    return F.when(bare == "", F.lit("empty URL")).otherwise(F.concat(F.lit("invalid URL: "), F.when(bare.contains("://"), bare).otherwise(F.concat(F.lit("https://"), bare))))
+    bare = stripped(F.coalesce(url, F.lit("")))
+    return F.when(bare == "", F.lit(fixed.E_EMPTY_URL)).otherwise(F.concat(F.lit(fixed.E_BAD_URL), F.when(bare.contains("://"), bare).otherwise(F.concat(F.lit("https://"), bare))))
 
 
 def www_toggled(url: Column) -> Column:
@@ -53,7 +53,7 @@ def common_paths(url: Column, paths: tuple[str, ...]) -> Column:
 
 
 def looks_like_url(value: Column) -> Column:
-    v = F.lower(F.trim(value))
+    v = F.lower(stripped(value))
     return (v != "") & (v.startswith("http://") | v.startswith("https://") | (v.contains(".") & ~v.contains(" ")))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import folded, let
 
-#: A gazetteer is broadcast up to this many spellings (about 60 bytes each); beyond, Spark chooses.
-BROADCAST_ROWS = 1_000_000
+#: Words that a name may have.
+WINDOWS = (1, 2, 3)
 
 
 def address_snippet(text: Column) -> Column:
@@ -18,32 +18,42 @@ def address_snippet(text: Column) -> Column:
     return F.nullif(F.btrim(found, F.lit(fixed.OUTER_MARKS)), F.lit(""))
 
 
-def word_windows(text: Column) -> Column:
-    """(size, at, original) of windows of three, two, one words with a capital, in that order."""
+def city_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({fixed.CITY_WORD})"), 1)
 
-    def of(ws: Column) -> Column:
+
+def _capital(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}")
+
+
+def window_counts(text: Column) -> Column:
+    """(size, n) of the windows of one, two, three words with a capital; counted, not built."""
+
+    def of(capitals: Column) -> Column:
         def size(n: int) -> Column:
-            at = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-            made = F.transform(at, lambda i: F.struct(F.lit(n).alias("size"), i.alias("at"), F.slice(ws, i, n).alias("ws")))
-            capital = F.filter(made, lambda x: F.exists(x["ws"], lambda w: w.rlike(r"^\p{Lu}")))
-            return F.transform(capital, lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), F.array_join(x["ws"], " ").alias("original")))
+            has = lambda c, i: F.array_contains(F.slice(capitals, i + 1, n), True) & (i + n <= F.size(capitals))
+            return F.struct(F.lit(n).alias("size"), F.size(F.filter(capitals, has)).cast("long").alias("n"))
 
-        return F.concat(size(3), size(2), size(1))
+        return F.filter(F.array(*map(size, WINDOWS)), lambda x: x["n"] > 0)
 
-    return let(F.regexp_extract_all(text, F.lit(f"({fixed.CITY_WORD})"), 1), of)
+    return let(F.transform(city_words(text), _capital), of)
 
 
 def guessed_cities(sites: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Of sites (``site_id``, ``text``, ``snippet``, ``preferred``): the best match per site that has one.
 
-    ``gazetteer``: see :func:`factloom.sources.gazetteer.keyed`.
+    ``gazetteer``: see :func:`factloom.sources.gazetteer.keyed`.  Each word is looked up once among the first words of spellings;
+    only where it is one is the window compared.
     """
     sources = F.array(F.struct(F.lit(True).alias("in_address"), F.col("snippet").alias("t")), F.struct(F.lit(False).alias("in_address"), F.col("text").alias("t")))
-    parts = sites.select("site_id", "preferred", F.explode(sources).alias("s")).where("s.t IS NOT NULL")
-    grams = parts.select("site_id", "preferred", "s.in_address", F.explode(word_windows(F.col("s.t"))).alias("g"))
-    grams = grams.select("site_id", "preferred", "in_address", "g.size", "g.at", "g.original", folded(F.col("g.original")).alias("key"))
-    small = gazetteer.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = grams.join(F.broadcast(gazetteer) if small else gazetteer, "key")
+    parts = sites.select("site_id", "preferred", F.explode(sources).alias("s")).where("s.t IS NOT NULL").select("site_id", "preferred", "s.in_address", city_words(F.col("s.t")).alias("ws"))
+    placed = F.transform("ws", lambda w, i: F.struct((i + 1).alias("at"), F.slice("ws", i + 1, max(WINDOWS)).alias("ws")))
+    words = parts.select("site_id", "preferred", "in_address", F.inline(F.filter(placed, lambda x: F.exists(x["ws"], _capital))))
+    words = words.withColumn("first", folded(F.get("ws", 0)))
+    spellings = gazetteer.withColumn("size", F.size(F.split("key", " "))).where(F.col("size").isin(*WINDOWS)).withColumn("first", F.split_part("key", F.lit(" "), F.lit(1)))
+    window = F.slice("ws", 1, F.col("size"))
+    met = words.join(spellings, "first").where((F.size(window) == F.col("size")) & (folded(F.array_join(window, " ")) == F.col("key")) & F.exists(window, _capital))
+    hits = met.withColumn("original", F.array_join(window, " "))
     match = F.coalesce(F.col("countrycode") == F.col("preferred"), F.lit(False))
     record = F.struct("name", "countrycode", "population")
     best = hits.groupBy("site_id", "in_address", "size", "at").agg(

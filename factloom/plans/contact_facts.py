@@ -1,17 +1,22 @@
-"""The whole plan: URLs and a page store in, one row of facts per site out."""
+"""The whole plan: URLs and a page store in, one row of facts per site out.
+
+Two tables are written on the way, to the folder that driver and executors share, and cut the plan: what each page
+says (one parse a page, however often the plan asks for its links, its state or its facts), and the sites before
+the gazetteer is asked.  All that follows reads their few columns.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, hours, jsonld, names, phones, urls
 from ..functions.text import filled
 from ..operators.city import address_snippet, guessed_cities
-from ..operators.gather import gathered
-from ..operators.merge import merged_people
+from ..operators.gather import gathered, near_sites, one_per_url
+from ..scratch import written
 from ..sources import gazetteer
+from ..sources.html_parse import parsed_pages
 
 PEOPLE = "array<struct<name:string,role:string>>"
 NO_TEXT = "cast(array() as array<string>)"
@@ -23,10 +28,14 @@ def micro_address(props: Column) -> Column:
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """Per page what its text, links and markup say; native but for the phone numbers."""
+    """Per page (``url``, ``page_url``, ``html``, ``error``) its state, its links and what its text and markup say.
+
+    Native but for the parse and the phone numbers.
+    """
+    parsed = parsed_pages(pages.withColumn("loads", F.col("html").isNotNull()), base_col="page_url")
     linked = phones.tel_numbers(F.transform("anchors", lambda a: a["href"]))
-    return pages.select(
-        "site_id", "page_ord", "ld_json", "meta_city", "text",
+    return parsed.select(
+        "url", "page_url", "loads", "error", "anchors", "ld_nodes", "meta_city", "text",
         micro_address(F.col("itemprops")).alias("micro"),
         filled(F.try_element_at("itemprops", F.lit("telephone"))).alias("micro_phone"),
         phones.phones_in_text(F.col("text"), linked, urls.country_of(F.col("page_url"))).alias("phones"),
@@ -36,46 +45,43 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
+SITE_COLUMNS = ("ld_nodes", "meta_city", "text", "micro", "micro_phone", "phones", "names", "hours", "snippet")
+
+
 def site_facts(pages: DataFrame) -> DataFrame:
     """Per site the facts of its pages in page order: one shuffle, bounded by the page limit."""
-    grouped = pages.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("page_ord", "ld_json", "meta_city", "text", "micro", "micro_phone", "phones", "names", "hours", "snippet"))).alias("ps"))
+    grouped = pages.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("page_ord", *SITE_COLUMNS))).alias("ps"))
     of = lambda name: F.transform("ps", lambda p: p[name])
     first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), 0)
-    return grouped.select(
+    read = grouped.select(
         "site_id",
-        jsonld.summary(jsonld.nodes(F.flatten(of("ld_json")))).alias("ld"),
+        jsonld.summary(jsonld.nodes(F.flatten(of("ld_nodes")))).alias("ld"),
         F.filter(of("micro_phone"), lambda x: x.isNotNull()).alias("micro_phones"),
         F.get(F.filter(of("micro"), lambda a: a["raw"].isNotNull()), 0).alias("micro"),
         first(of("meta_city")).alias("meta_city"),
         F.array_join(of("text"), "\n").alias("text"),
         F.array_distinct(F.flatten(of("phones"))).alias("page_phones"),
-        F.transform("ps", lambda p: F.struct(p["page_ord"].alias("page"), p["names"].alias("names"))).alias("page_names"),
+        F.flatten(of("names")).alias("page_names"),
         F.array_distinct(F.flatten(of("hours"))).alias("page_hours"),
         first(of("snippet")).alias("snippet"),
     )
-
-
-def people_of(sites: DataFrame) -> DataFrame:
-    """Structured people by cleaned name, then those of the pages."""
-    own = sites.select("site_id", F.lit(0).alias("src"), F.posexplode("ld.names").alias("o", "p"))
-    # every structured mention stands on a page of its own: all of them may give the role
-    own = own.select("site_id", "src", F.col("o").alias("page"), "o", names.clean_person_name(F.col("p.name")).alias("name"), filled(F.col("p.role")).alias("role"))
-    read = sites.select("site_id", F.lit(1).alias("src"), F.explode("page_names").alias("pn")).select("site_id", "src", "pn.page", F.posexplode("pn.names").alias("o", "p"))
-    read = read.select("site_id", "src", "page", "o", "p.name", "p.role")
-    return merged_people(own.unionByName(read).where("name IS NOT NULL"))
+    # structured people by cleaned name, then those of the pages
+    cleaned = F.transform("ld.names", lambda p: F.struct(names.clean_person_name(p["name"]).alias("name"), filled(p["role"]).alias("role")))
+    return read.withColumn("names", names.one_each(F.concat(F.filter(cleaned, lambda p: p["name"].isNotNull()), "page_names")))
 
 
 def contact_facts(sites: DataFrame, store: DataFrame, *, cities: DataFrame | None = None, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
     """``sites``: ``site_ord``, ``url``; ``store``: ``url``, ``final_url``, ``html``, ``error``.  One row per site.
 
-    A blank or invalid URL gives a row with a warning.
+    A blank or invalid URL gives a row with a warning.  Of the store only pages on the sites' authorities are parsed.
     """
     spark = sites.sparkSession
     named = sites.select("site_ord", "url", urls.normalized(F.col("url")).alias("source_url"))
     good = named.where("source_url IS NOT NULL").select(F.col("site_ord").alias("site_id"), "source_url")
-    pages, found = gathered(good, store, max_pages=max_pages)
-    facts = site_facts(page_facts(pages)).persist(StorageLevel.MEMORY_AND_DISK)  # read by the people and by the rest
-    merged = found.join(facts, "site_id", "left").join(people_of(facts), "site_id", "left")
+    pages = written(page_facts(one_per_url(near_sites(store, good))), "pages")
+    read, found = gathered(good, pages, max_pages=max_pages)
+    facts = site_facts(read.join(pages.select("url", *SITE_COLUMNS), "url"))
+    merged = found.join(facts, "site_id", "left")
     tld = urls.country_of(F.col("source_url"))
     structured = phones.canonical_phones(F.concat(F.coalesce("ld.phones", F.expr(NO_TEXT)), F.coalesce("micro_phones", F.expr(NO_TEXT))), tld)
     merged = merged.withColumn("__sp", structured)
@@ -91,7 +97,7 @@ def contact_facts(sites: DataFrame, store: DataFrame, *, cities: DataFrame | Non
         F.col("text").isNotNull().alias("read"),
     )
     hint = F.coalesce(tld, phones.region_of(F.col("phones")))
-    merged = merged.withColumn("__hint", hint).persist(StorageLevel.MEMORY_AND_DISK)  # read by the guess and by the rows
+    merged = written(merged.withColumn("__hint", hint), "sites")  # read by the guess and by the rows
     # the gazetteer is only asked for sites that name no city themselves
     unknown = merged.where("read AND city0 IS NULL").select("site_id", "text", "snippet", F.coalesce("country0", "__hint").alias("preferred"))
     guess = guessed_cities(unknown, gazetteer.keyed(cities if cities is not None else gazetteer.builtin(spark)))

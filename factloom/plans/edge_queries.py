@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, phones, urls
-from ..operators.gather import home_pages
+from ..operators.gather import home_pages, one_per_url
 from ..sources import sinks
 from ..sources.html_parse import parsed_pages
 from .contact_facts import micro_address
@@ -74,7 +74,9 @@ def home_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(c.where(k % 3 == 1).select(other.alias("url"), none.alias("final_url"), _text("<b>", k).alias("html"), none.alias("error")))
         .unionByName(c.where((k % 3 == 1) & (k % 2 == 0)).select(own.alias("url"), none.alias("final_url"), none.alias("html"), F.lit("HTTP 500").alias("error")))
     )
-    homes = home_pages(c.select(k.alias("site_id"), own.alias("source_url")), store)
+    pages = one_per_url(store.unionByName(store.where(F.col("html").isNull())))  # some rows twice
+    homes = home_pages(c.select(k.alias("site_id"), own.alias("source_url")), pages.withColumn("loads", F.col("html").isNotNull()))
+    homes = homes.join(pages.select(F.col("url").alias("home_key"), "html"), "home_key", "left")
     return homes.select(F.col("site_id").alias("c_custkey"), "home_url", "html", F.array_join("warnings", " | ").alias("warnings"))
 
 

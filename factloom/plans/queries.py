@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, hours, jsonld, names, phones, text, urls
-from ..operators.city import address_snippet, guessed_cities, word_windows
+from ..operators.city import address_snippet, guessed_cities, window_counts
 from ..operators.gather import kept_tries
 from ..operators.link_ranking import ranked_links
 from ..operators.merge import merged_people, ordered_distinct
@@ -119,8 +119,8 @@ def address_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of every document's words, counted by size."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(word_windows(F.coalesce("text", F.lit("")))).alias("w"))
-    return docs.groupBy("doc_id", F.col("w.size").alias("size")).agg(F.count(F.lit(1)).alias("n_windows"))
+    counted = read(spark, sf_dir, "documents").select("doc_id", F.explode(window_counts(F.coalesce("text", F.lit("")))).alias("w"))
+    return counted.select("doc_id", "w.size", F.col("w.n").alias("n_windows"))
 
 
 def city_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def jsonld_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","addressLocality":"'), "s_name", F.lit('","addressCountry":'), country, F.lit('},"employee":{"@type":"Person","name":"'), _person_card(k), F.lit('","jobTitle":"Jefe"}}'),
     )
     script = F.when(k % 7 == 0, F.concat(F.lit("{"), node)).when(k % 2 == 0, F.concat(F.lit('{"@graph":['), node, F.lit("]}"))).otherwise(node)
-    found = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", jsonld.summary(jsonld.nodes(F.array(script))).alias("f"))
+    found = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", jsonld.summary(jsonld.nodes(jsonld.unwrapped(F.array(script)))).alias("f"))
     return found.select("s_suppkey", F.array_join("f.phones", "|").alias("phones"), F.array_join(F.transform("f.names", names.display), "|").alias("people"), F.col("f.address.locality").alias("locality"), F.col("f.address.country").alias("country"), F.col("f.address.raw").alias("address"))
 
 

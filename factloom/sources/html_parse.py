@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.jsonld import node_texts
 from ..shipping import ship
 
 PARSED = (
     "text string, text_no_nav string, anchors array<struct<pos:int,href:string,text:string,url:string>>, "
-    "ld_json array<string>, itemprops map<string,string>, meta_city string"
+    "ld_json array<string>, ld_nodes array<string>, itemprops map<string,string>, meta_city string"
 )
 HIDDEN = frozenset(("script", "style", "noscript", "svg"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
@@ -56,7 +57,7 @@ class _Page(HTMLParser):
                 self.props[prop] = a.get("content") or ""
             elif tag not in VOID:
                 self.catching.append([prop, tag, 1, []])
-        if tag == "meta" and not self.meta_seen and re.match(r"geo.placename$", a.get("name") or "", re.IGNORECASE):
+        if tag == "meta" and not self.meta_seen and re.match(fixed.META_CITY, a.get("name") or "", re.IGNORECASE):
             self.meta_seen, self.meta = True, (a.get("content") or "").strip() or None
         if tag == "a":
             self.anchor_open = "href" in a
@@ -125,6 +126,7 @@ def parse_page(html: str | None, base: str | None) -> dict:
         "text_no_nav": "\n".join(page.no_nav),
         "anchors": [x | {"text": " ".join(x["text"])} for x in page.anchors],
         "ld_json": [s for s in page.scripts if s.strip()],
+        "ld_nodes": [n for s in page.scripts for n in node_texts(s)],
         "itemprops": {k: v for k, v in page.props.items() if v},
         "meta_city": page.meta,
     }

@@ -40,18 +40,14 @@ def write_json(facts: DataFrame, path: str) -> None:
 
 
 def human_text() -> Column:
-    """A labelled block of lines."""
-    line = lambda label, value, missing: F.concat(F.lit(label), F.coalesce(F.nullif(value, F.lit("")), F.lit(missing)))
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("URL:              "), "source_url"),
-        line("Página de contacto: ", F.col("contact_page_url"), "(no encontrada; se usó la página principal)"),
-        line("Página de equipo: ", F.col("team_page_url"), "(no encontrada)"),
-        line("Nombres:          ", F.array_join(F.transform("names", display), ", "), "(ninguno encontrado)"),
-        line("Teléfonos:        ", F.array_join("phones", ", "), "(ninguno encontrado)"),
-        line("Horario:          ", F.col("hours"), "(no encontrado)"),
-        line("Ciudad probable:  ", F.col("city"), "(no determinada)"),
-        F.concat(F.lit("País:             "), F.nullif("country", F.lit(""))),
-        F.concat(F.lit("Dirección (texto): "), F.nullif("address_raw", F.lit(""))),
-        F.when(F.size("warnings") > 0, F.concat(F.lit("Avisos:\n  - "), F.array_join("warnings", "\n  - "))),
-    )
+    """A labelled block of lines; a line without value says so, or goes where nothing is to be said."""
+    values = {"names": F.array_join(F.transform("names", display), ", "), "phones": F.array_join("phones", ", ")}
+
+    def line(name: str) -> Column:
+        label, missing = fixed.LABELS[name]
+        if name == "warnings":
+            return F.when(F.size("warnings") > 0, F.concat(F.lit(label + fixed.WARNING_MARK), F.array_join("warnings", fixed.WARNING_MARK)))
+        value = F.nullif(values.get(name, F.col(name)), F.lit(""))
+        return F.concat(F.lit(label), value if missing is None else F.coalesce(value, F.lit(missing)))
+
+    return F.concat_ws("\n", *map(line, fixed.LABELS))
