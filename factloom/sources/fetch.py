@@ -99,11 +99,11 @@ class Fetcher:
 
     def fetch(self, url: str) -> dict:
         row = {"url": url, "final_url": url, "status_code": None, "html": None, "error": None}
-        if urlsplit(url).scheme not in ("http", "https"):
-            return row | {"error": "only http and https"}
-        if self.respect_robots and not self.allowed(url):
-            return row | {"error": "robots.txt forbids it"}
         try:
+            if urlsplit(url).scheme not in ("http", "https"):
+                return row | {"error": "only http and https"}
+            if self.respect_robots and not self.allowed(url):
+                return row | {"error": "robots.txt forbids it"}
             answer, found = self._answer(url)
             row |= {"status_code": answer.status} | self._page(answer, found)
             self._done(found, answer)
@@ -123,6 +123,8 @@ class Fetcher:
             body += chunk
             if len(body) > MAX_BYTES:
                 return {"error": "page too large"}
+        if answer.length:
+            raise http.client.IncompleteRead(bytes(body[:0]), answer.length)
         try:
             html = body.decode(answer.headers.get_content_charset() or "utf-8", "replace")
         except LookupError:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import hours, jsonld, names, phones, urls
+from factloom.functions import fixed, hours, jsonld, names, phones, urls
 from factloom.operators.city import address_snippet
 from factloom.sources.html_parse import parse_page
 
@@ -15,7 +15,7 @@ def value(spark, function, text):
     [
         ("Abrimos de lunes a viernes de 9:00 a 18:00 y sábados 10h - 14h.", ["lunes a viernes de 9:00 a 18:00", "sábados 10h - 14h"]),
         ("Nuestro horario es de 9 a 18 horas", ["Nuestro horario es de 9 a 18 horas"]),
-        ("Tiene 5 hijos y un horario", []),
+        ("Son 7 socios y un horario", []),
         ("nada", []),
     ],
 )
@@ -24,26 +24,26 @@ def test_hours(spark, text, expected):
 
 
 def test_names_with_roles(spark):
-    text = "Dr. Ignacio Navarro\nDirector Médico\nContacto: Ana Ruiz de la Vega\nVer perfil\nCarla Pérez\nCEO Fundadora\nNuestra Historia\nAlgo bonito\nContacto: Distribuidora Nacional S.A.S.\n"
+    text = "Dr. Bruno Salinas\nDirector Médico\nContacto: Ana Ruiz de la Vega\nVer perfil\nCarla Pérez\nCEO Fundadora\nNuestra Historia\nAlgo bonito\nContacto: Comercializadora Pacífico S.A.S.\n"
     found = [(p["name"], p["role"]) for p in value(spark, names.names_in_text, text)]
-    assert found == [("Ignacio Navarro", "Director Médico"), ("Ana Ruiz de la Vega", None), ("Carla Pérez", "CEO Fundadora")]
+    assert found == [("Bruno Salinas", "Director Médico"), ("Ana Ruiz de la Vega", None), ("Carla Pérez", "CEO Fundadora")]
 
 
-@pytest.mark.parametrize(("raw", "name"), [("Dr. Ignacio Navarro 🇺🇸", "Ignacio Navarro"), ("ANA RUIZ", "Ana Ruiz"), ("Acme S.L.", None), ("Luis", "Luis"), ("", None), ("O'CAMPO DÍAZ", "O'Campo Díaz")])
+@pytest.mark.parametrize(("raw", "name"), [("Dr. Bruno Salinas 🇨🇱", "Bruno Salinas"), ("ANA RUIZ", "Ana Ruiz"), ("Acme S.L.", None), ("Luis", "Luis"), ("", None), ("O'CAMPO DÍAZ", "O'Campo Díaz")])
 def test_clean_person_name(spark, raw, name):
     assert value(spark, names.clean_person_name, raw) == name
 
 
 @pytest.mark.parametrize(
     ("raw", "country", "number"),
-    [("+57 300 111 2222", None, "+57 300 1112222"), ("+52 55 1234 5678", None, "+52 55 1234 5678"), ("601 2345678", "CO", "+57 601 2345678"), ("699 14 58 87", "ES", "+34 699 14 58 87"), ("2015", None, None), (None, "ES", None)],
+    [("+57 315 222 1111", None, "+57 315 2221111"), ("+52 55 1234 5678", None, "+52 55 1234 5678"), ("604 7654321", "CO", "+57 604 7654321"), ("688 21 43 65", "ES", "+34 688 21 43 65"), ("2015", None, None), (None, "ES", None)],
 )
 def test_phones(raw, country, number):
     assert phones.canonical(raw, country) == number
 
 
 def test_a_span_is_claimed_once():
-    assert phones.in_text("601 2345678, +34 699 14 58 87, desde 2015", "CO") == ["+34 699 14 58 87", "+57 601 2345678"]
+    assert phones.in_text("604 7654321, +34 688 21 43 65, desde 2015", "CO") == ["+34 688 21 43 65", "+57 604 7654321"]
 
 
 def test_urls(spark):
@@ -62,6 +62,39 @@ def test_malformed_json_gives_no_nodes(spark):
     assert value(spark, lambda c: jsonld.nodes(F.array(c)), "{oops") == []
 
 
+def test_nodes_at_any_depth():
+    deep = '{"@graph": [[[[{"@graph": {"@graph": {"name": "a"}, "x": 1}}]]], {"name": "b", "name": "c"}, 5, NaN]}'
+    assert jsonld.node_texts(deep) == ["{}", "{}", '{"x": 1}', '{"name": "a"}', '{"name": "c"}']
+    assert jsonld.node_texts("[" * 100_000) == [] and jsonld.node_texts("") == [] and jsonld.node_texts("3") == []
+
+
+def test_all_blanks_go(spark):
+    for raw in ("\thttp://a.com\n", "\u3000http://a.com\x1c", "\xa0 http://a.com\r"):
+        assert value(spark, urls.normalized, raw) == "http://a.com"
+    assert value(spark, urls.normalized, "a.com\r") == "https://a.com" and value(spark, urls.normalized, "\u2003\n") is None
+
+
+def test_window_counts_against_loops(spark):
+    import re
+
+    from factloom.operators.city import window_counts
+
+    for text in ("", "uno", "Uno", "a B c D e f G", "Á b' c.d E", "x y z " * 30 + "La Paz"):
+        ws = re.findall(fixed.CITY_WORD, text)
+        expected = {n: k for n in (1, 2, 3) if (k := sum(any(w[0].isupper() for w in ws[i : i + n]) for i in range(len(ws) - n + 1)))}
+        assert {r["size"]: r["n"] for r in value(spark, window_counts, text)} == expected
+
+
+def test_cities_of_several_words(spark):
+    from factloom.operators.city import guessed_cities
+    from factloom.sources.gazetteer import builtin, keyed
+
+    rows = [(1, "ven a santa Cruz de la sierra hoy", None), (2, "en San Salvador y Lima", None), (3, "san José", "calle 1, San José"), (4, "la paz", None), (5, "La", None), (6, "", "")]
+    found = guessed_cities(spark.createDataFrame(rows, "site_id int, text string, snippet string").selectExpr("*", "cast(null as string) AS preferred"), keyed(builtin(spark)))
+    got = {r["site_id"]: (r["city"], r["evidence"]) for r in found.collect()}
+    assert got == {1: ("Santa Cruz", "santa Cruz"), 2: ("San Salvador", "San Salvador"), 3: ("San José", "San José")}
+
+
 def test_page_parser():
     page = parse_page('<nav><a href="x">M <b>n</b></a></nav><script>no</script><p>a<!-- c -->b&amp;<br>d<span itemprop="telephone">1 <b>2</b></span><meta name="geo.placename" content=" Lima ">', "https://h/en/")
     assert page["text"].split("\n") == ["M", "n", "a", "b&", "d", "1", "2"]
