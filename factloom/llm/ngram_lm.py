@@ -15,21 +15,24 @@ of all tokens spread over a third of the shards; words are hashed evenly.  Files
 a temporary name and renamed, and the same task always writes the same bytes: reruns are harmless.
 Nothing is pruned.  The driver sees one row per shard.
 
-Order two is what fits the disk budget: in 0.1 GB of documents 27 M tokens hold 12 M distinct
-bigrams, and 19 M distinct trigrams, which would more than double shuffle and model.
+Runs number blocks times shards, so each is kept to its arrays and some bytes.  Order two is what fits the disk budget;
+the README gives the figures.
 
 Defined results
 ---------------
 * null or empty text: one token, the end;
 * null id: a training row; repeated rows count, and are scored, each by itself;
+* very long texts: counted and scored whole, in a block of their own if need be; words of any length are hashed;
+* ties: none matter, counts are sums; two words of equal 64-bit hash would count as one;
 * no training rows: every probability is uniform, ``base_score`` and ``score`` are 0;
-* empty table: empty result.
+* empty table: empty result; input columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import io
 import os
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +55,8 @@ BEGIN, END = b"\n\n", b"\n"
 BLOCK = 1_500_000
 #: Bytes of text per vocabulary shard and tokens per n-gram shard.
 VOCAB_BYTES, SHARD_TOKENS = 64 << 20, 2_000_000
+#: Files a worker keeps mapped; each holds a file handle.
+MAPS = 512
 
 
 # --- files -------------------------------------------------------------------------------------
@@ -80,7 +85,7 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     store.move(part, f"{path}/{name}.npy")
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=MAPS)
 def mapped(folder: str, name: str) -> np.ndarray:
     """The array, memory-mapped; one in a remote store by way of an unlinked local copy."""
     if base := _local(folder):
@@ -215,15 +220,23 @@ def _classes(values: np.ndarray) -> list[int]:
     return [int((values == k).sum()) for k in (1, 2, 3, 4)]
 
 
+_KINDS = [np.dtype(x) for x in ("<u4", "<u8", "<i8")]
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
-    held = io.BytesIO()
-    np.savez(held, *arrays)
-    return held.getvalue()
+    """The arrays one after another, behind their number, kinds and lengths: nine bytes an array and one in all."""
+    arrays = tuple(x.astype("<i8") if x.dtype not in _KINDS else x for x in arrays)
+    head = bytes([len(arrays)]) + b"".join(struct.pack("<BQ", _KINDS.index(x.dtype), len(x)) for x in arrays)
+    return head + b"".join(x.tobytes() for x in arrays)
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
-    with np.load(io.BytesIO(data)) as arrays:
-        return [arrays[f"arr_{i}"] for i in range(len(arrays.files))]
+    parts = [struct.unpack_from("<BQ", data, 1 + 9 * i) for i in range(data[0])]
+    at, found = 1 + 9 * data[0], []
+    for kind, length in parts:
+        found.append(np.frombuffer(data, _KINDS[kind], length, at))
+        at += length * _KINDS[kind].itemsize
+    return found
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -358,6 +371,8 @@ def train_lm(docs: DataFrame, *, text_col: str = "text", folder: str | None = No
     texts = sum(r["texts"] for r in rows.values())
     sums = lambda x: tuple(int(v) for v in np.concatenate([[0], np.cumsum(x)]))
     model = Model(folder, starts=sums(sizes), masses=sums(masses), texts=texts, tokens=sum(masses) - texts, words=sum(sizes) - 1)
+    if model.size >= 1 << 32:
+        raise ValueError(f"{model.size} distinct words: a pair of word ids no longer fits 64 bits")
     found = written(_pairs(train, model, 1 + sum(masses) // SHARD_TOKENS), "ngram-runs")
     shards = sorted(((r["first"] + (1 << 63), -1 - r["shard"], r["classes"]) for r in found.where("shard < 0").select("shard", "first", "classes").collect()))
     below = _lower(found.where("shard >= 0").select("shard", "data"), model)
