@@ -14,9 +14,16 @@ def _snippets(found: Column) -> Column:
 
 
 def hours_in_text(text: Column) -> Column:
-    """Up to five snippets: days with a time range, or else what surrounds a keyword."""
+    """Up to five snippets: days with a time range, or else what surrounds a keyword.
+
+    Most texts have no time range and no keyword; looking for these first, which start with a digit or few letters, spares
+    them the patterns that may start anywhere.
+    """
     flat = F.regexp_replace(text, r"[ \t]+", " ")
-    strict = _snippets(F.regexp_extract_all(flat, F.lit(rf"(?iU)({fixed.HOURS_LINE})"), 1))
+    none = F.expr("cast(array() as array<string>)")
+
+    def strict(t: Column) -> Column:
+        return F.when(t.rlike(rf"(?iU){fixed.CLOCK_RANGE}"), _snippets(F.regexp_extract_all(t, F.lit(rf"(?iU)({fixed.HOURS_LINE})"), 1))).otherwise(none)
 
     def loose(t: Column) -> Column:
         # what precedes a keyword, up to the start of the text, and what follows, may overlap others'
@@ -24,9 +31,10 @@ def hours_in_text(text: Column) -> Column:
         pattern = F.lit(rf"(?isU)(?<=(^.{{0,{b - 1}}}|.{{{b}}}))({fixed.HOURS_KEYWORD})(?=(.{{0,{a}}}))")
         parts = [F.regexp_extract_all(t, pattern, g) for g in (1, 2, 3)]
         around = F.transform(F.arrays_zip(*(p.alias(f"p{i}") for i, p in enumerate(parts))), lambda x: F.concat(x["p0"], x["p1"], x["p2"]))
-        return F.filter(_snippets(around), lambda s: s.rlike(rf"(?iU)(?:{fixed.DAY_WORDS})") | s.rlike(rf"(?iU){fixed.CLOCK_RANGE}"))
+        near = F.filter(_snippets(around), lambda s: s.rlike(rf"(?iU)(?:{fixed.DAY_WORDS})") | s.rlike(rf"(?iU){fixed.CLOCK_RANGE}"))
+        return F.when(t.rlike(rf"(?iU){fixed.HOURS_KEYWORD}"), near).otherwise(none)
 
-    return let(strict, lambda s: F.slice(F.when(F.size(s) > 0, s).otherwise(loose(flat)), 1, fixed.HOURS_KEPT))
+    return let(flat, lambda t: let(strict(t), lambda s: F.slice(F.when(F.size(s) > 0, s).otherwise(loose(t)), 1, fixed.HOURS_KEPT)))
 
 
 def best_hours(snippets: Column) -> Column:

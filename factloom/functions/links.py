@@ -6,16 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import fold_word, folded, stripped
+from .text import fold_word, folded, let, stripped, words
 
 
 def link_score(text: Column, href: Column, keywords: tuple[str, ...]) -> Column:
     """Points for each keyword in the folded text and in the href; spellings that fold alike count each."""
-    t, h = folded(text), F.translate(folded(href), "-_", "")
-    total = F.lit(0)
-    for word in map(fold_word, keywords):
-        total = total + F.when(t.contains(word), fixed.TEXT_POINTS).otherwise(0) + F.when(h.contains(word.replace(" ", "")), fixed.HREF_POINTS).otherwise(0)
-    return total
+    spelt = [fold_word(w) for w in keywords]
+    found = lambda where, what: let(where, lambda x: F.size(F.filter(words(what), lambda w: x.contains(w))))
+    return fixed.TEXT_POINTS * found(folded(text), spelt) + fixed.HREF_POINTS * found(F.translate(folded(href), "-_", ""), [w.replace(" ", "") for w in spelt])
 
 
 def is_link(href: Column) -> Column:

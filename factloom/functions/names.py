@@ -17,7 +17,7 @@ def clean_name(name: Column) -> Column:
     """Shouted names in title case; null for boilerplate and companies."""
     n = stripped(name)
     cased = F.when((F.upper(n) == n) & (F.lower(n) != n), title_case(n)).otherwise(n)
-    ok = (cased != "") & ~F.lower(cased).isin(*fixed.NOT_NAMES) & ~cased.rlike(f"(?iU){fixed.COMPANY_END}")
+    ok = (cased != "") & ~F.array_contains(words(fixed.NOT_NAMES), F.lower(cased)) & ~cased.rlike(f"(?iU){fixed.COMPANY_END}")
     return F.when(ok, cased)
 
 
@@ -35,7 +35,7 @@ def is_role(line: Column) -> Column:
     """Whether a line reads like a job title: never null."""
     plain_name = line.rlike(FLAGS + fixed.BARE_LINE) & ~has_word(line, fixed.ROLE_WORDS)
     ok = (
-        ~F.lower(line).isin(*fixed.NOT_ROLES)
+        ~F.array_contains(words(fixed.NOT_ROLES), F.lower(line))
         & line.rlike(fixed.ROLE_SHAPE)
         & ~line.contains("@")
         & ~F.lower(line).contains("http")
@@ -68,7 +68,7 @@ def labelled_names(text: Column) -> Column:
 def bare_names(text: Column) -> Column:
     """Lines that are only a name and are followed by a role."""
     found = _mentions(text, LINES + fixed.BARE_LINE)
-    other = lambda n: F.lower(n).isin(*fixed.NOT_ROLES) | has_word(n, fixed.ROLE_WORDS + fixed.COMPANY_WORDS + fixed.HEADING_WORDS)
+    other = lambda n: F.array_contains(words(fixed.NOT_ROLES), F.lower(n)) | has_word(n, fixed.ROLE_WORDS + fixed.COMPANY_WORDS + fixed.HEADING_WORDS)
     kept = F.filter(found, lambda x: x["name"].isNotNull() & ~other(x["name"]) & is_role(x["line"]))
     return F.transform(kept, lambda x: F.struct(x["name"].alias("name"), x["line"].alias("role")))
 

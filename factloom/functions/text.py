@@ -48,12 +48,17 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def words(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+    """A literal array: one call to the JVM, however many values."""
+    return F.expr(f"array({', '.join(map(_quoted, values))})")
 
 
 def lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.expr(f"map({', '.join(_quoted(x) for pair in table.items() for x in pair)})")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

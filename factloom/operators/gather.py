@@ -69,14 +69,16 @@ def possible_tries(homes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Groups 0 and 1 are links to contact and team pages, 2 and 3 the usual paths of a site without such links.
     """
-    anchors = homes.select("site_id", F.col("page_url").alias("base_url"), F.explode("anchors").alias("a")).select("site_id", "base_url", "a.*")
-    contact = ranked_links(anchors, fixed.CONTACT_WORDS, fixed.CONTACT_LINKS).select("site_id", F.lit(0).alias("grp"), "i", "url")
-    team = ranked_links(anchors, fixed.TEAM_WORDS, fixed.TEAM_LINKS).select("site_id", F.lit(1).alias("grp"), "i", "url")
-    links = contact.unionByName(team)
-    has = links.groupBy("site_id").agg(F.max((F.col("grp") == 0).cast("int")).alias("c"), F.max((F.col("grp") == 1).cast("int")).alias("t"))
-    base = homes.select("site_id", "page_url").join(has, "site_id", "left").fillna(0, ["c", "t"])
-    guess = lambda flag, grp, paths: base.where(f"{flag} = 0").select("site_id", F.lit(grp).alias("grp"), F.posexplode(common_paths(F.col("page_url"), paths)).alias("i", "url"))
-    return links.unionByName(guess("c", 2, fixed.CONTACT_PATHS)).unionByName(guess("t", 3, fixed.TEAM_PATHS)), has
+    ranked = homes.select(
+        "site_id", "page_url",
+        ranked_links(F.col("anchors"), F.col("page_url"), fixed.CONTACT_WORDS, fixed.CONTACT_LINKS).alias("contact"),
+        ranked_links(F.col("anchors"), F.col("page_url"), fixed.TEAM_WORDS, fixed.TEAM_LINKS).alias("team"),
+    )
+    listed = lambda urls, grp, url: F.transform(urls, lambda x, i: F.struct(F.lit(grp).alias("grp"), i.alias("i"), url(x).alias("url")))
+    linked = lambda links, grp: listed(F.col(links), grp, lambda x: x["url"])
+    guessed = lambda links, grp, paths: F.when(F.size(links) == 0, listed(common_paths(F.col("page_url"), paths), grp, lambda x: x)).otherwise(listed(F.expr("cast(array() as array<string>)"), grp, lambda x: x))
+    tries = F.concat(linked("contact", 0), linked("team", 1), guessed("contact", 2, fixed.CONTACT_PATHS), guessed("team", 3, fixed.TEAM_PATHS))
+    return ranked.select("site_id", F.inline(tries)), ranked.select("site_id", (F.size("contact") > 0).cast("int").alias("c"), (F.size("team") > 0).cast("int").alias("t"))
 
 
 def gathered(sites: DataFrame, pages: DataFrame, *, max_pages: int = fixed.MAX_PAGES) -> tuple[DataFrame, DataFrame]:

@@ -64,8 +64,9 @@ def carded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best contact links of every page."""
     pages = parsed_pages(carded_pages(spark, sf_dir))
-    anchors = pages.select(F.col("page_id").alias("site_id"), F.col("url").alias("base_url"), F.explode("anchors").alias("a")).select("site_id", "base_url", "a.*")
-    return ranked_links(anchors, fixed.CONTACT_WORDS, fixed.CONTACT_LINKS).select(F.col("site_id").alias("page_id"), F.col("url").alias("link"), "score", F.col("i").alias("rank"))
+    best = ranked_links(F.col("anchors"), F.col("url"), fixed.CONTACT_WORDS, fixed.CONTACT_LINKS)
+    found = pages.select("page_id", F.posexplode(best).alias("at", "l"))
+    return found.select("page_id", F.col("l.url").alias("link"), "l.score", (F.col("at") + 1).alias("rank"))
 
 
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
