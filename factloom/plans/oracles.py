@@ -30,6 +30,27 @@ def _keyword_points() -> str:
     return ", ".join(f"('{fold_word(w)}', {i})" for i, w in enumerate(fixed.CONTACT_WORDS))
 
 
+#: A time of day without the look-ahead that DuckDB's patterns lack.
+_CLOCK = r"\d{1,2}(?::\d{2})?\s?(?:h(?:rs?|oras?)?\b\.?|[ap]\.?\s?m\.?)?"
+
+
+def _facts_of_cards() -> str:
+    """What the generated home and contact pages say, and what is said of those that are missing."""
+    said = lambda text, url, error="no está en el almacén": "'" + text.replace("{url}", f"' || {url} || '").replace("{other}", "").replace("{error}", error) + "'"
+    country = {c: next(x[1] for x in CITIES if c in (x[0], *x[3:])) for c in CARD_CITIES}
+    tlds = [fixed.COUNTRY_OF_TLD.get(t.rpartition(".")[2], "") for t in TLDS]
+    return f"""
+WITH k AS (SELECT page_id AS k, page_id % 11 <> 0 AS home, page_id % 4 <> 0 AS card, 'https://s' || page_id || '.' || {_pick('page_id', TLDS)} AS base, {_pick('page_id', tlds)} AS tld,
+                  {_pick('page_id', CARD_CITIES)} AS city, {_pick('page_id', [country[c] for c in CARD_CITIES])} AS cc, {_person('page_id')} AS who FROM pages)
+SELECT base AS source_url, CASE WHEN home AND card THEN base || '/contacto' ELSE '' END AS contact_page_url, '' AS team_page_url, CASE WHEN home AND card THEN who ELSE '' END AS names,
+       CASE WHEN home AND card THEN '+57 300 ' || lpad(CAST(k AS VARCHAR), 7, '0') ELSE '' END AS phones, CASE WHEN home AND card THEN 'lunes a viernes 8:00 a 17:00' ELSE '' END AS hours,
+       CASE WHEN home AND card THEN city ELSE '' END AS city, CASE WHEN NOT home THEN '' WHEN card THEN cc ELSE tld END AS country, CASE WHEN home AND card THEN 'Calle 5, ' || city ELSE '' END AS address_raw,
+       CASE WHEN NOT home THEN {said(fixed.W_HOME, 'base')} ELSE concat_ws(' | ',
+         CASE WHEN NOT card THEN {said(fixed.W_PAGE, "base || '/contacto'")} END, CASE WHEN NOT card THEN {said(fixed.W_PAGE, "base || '/c' || k % 5")} END,
+         {said(fixed.W_PAGE, "base || '/equipo-' || k % 3")}, CASE WHEN NOT card THEN '{fixed.W_NO_CONTACT}' END, '{fixed.W_NO_TEAM}',
+         CASE WHEN NOT card THEN '{fixed.W_NO_PHONE} | {fixed.W_NO_HOURS} | {fixed.W_NO_NAMES} | {fixed.W_NO_CITY}' END) END AS warnings FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
     from . import edge_queries
 
@@ -89,6 +110,18 @@ WITH t AS (SELECT o_custkey AS site_id, o_orderkey % 4 AS grp, o_orderkey AS i,
      d AS (SELECT *, coalesce(bool_or(ok) OVER (PARTITION BY site_id, grp ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM t),
      n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY grp, i) AS n FROM d WHERE NOT done)
 SELECT site_id, grp, i, ok FROM n WHERE n <= 3""",
+        "visible_text": r"""
+WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '<x>', 'gs'), '<script[^>]*>.*?</script>', '<x>', 'gsi'), '<style[^>]*>.*?</style>', '<x>', 'gsi') AS html FROM pages),
+     n AS (SELECT page_id, regexp_split_to_array(html, '<[^>]*>') AS a, regexp_split_to_array(regexp_replace(html, '<nav[^>]*>.*?</nav>', '<x>', 'gsi'), '<[^>]*>') AS b FROM h),
+     c AS (SELECT page_id, list_transform(a, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS a, list_transform(b, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS b FROM n),
+     j AS (SELECT page_id, array_to_string(list_filter(a, lambda x: x <> ''), chr(10)) AS a, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS b FROM c)
+SELECT page_id, replace(replace(replace(replace(a, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS text,
+       replace(replace(replace(replace(b, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS text_no_nav FROM j""",
+        "hours_in_text": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g') || chr(10) || 'Abrimos de lunes a viernes de ' || (doc_id % 4 + 7) || ':30 a ' || (doc_id % 5 + 16) || ':00; sábado 10h - 13h',
+                  '(?i)((?:{fixed.DAY_WORDS})(?:\s*(?:,|y|{fixed.UNTIL})\s*(?:{fixed.DAY_WORDS}))*[^.;\n]{{0,25}}?{_CLOCK}\s*{fixed.UNTIL}\s*{_CLOCK})') AS hs FROM documents)
+SELECT doc_id, array_to_string(hs[1:5], '|') AS hours, hs[1] AS best FROM d""",
+        "facts_of_cards": _facts_of_cards(),
         "people_merge": f"""
 WITH m AS (SELECT conv_id, CASE WHEN turn < 2 THEN 0 ELSE 1 END AS src, turn // 3 AS page, turn AS o, {_pick('turn * 7 + conv_id', FIRST)} AS name,
                   CASE WHEN (conv_id + turn) % 3 = 0 THEN {_pick('conv_id + turn', ('Jefe', 'Ventas'))} END AS role FROM conversations),

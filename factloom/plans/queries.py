@@ -51,14 +51,14 @@ def common_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origins.select("origin", F.posexplode(urls.common_paths(F.col("origin"), fixed.CONTACT_PATHS)).alias("pos", "url"))
 
 
-def carded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with generated anchors before the end."""
+def carded_pages(spark: SparkSession, sf_dir: str, own_html: bool = True) -> DataFrame:
+    """Pages with generated anchors before their own HTML."""
     k = F.col("page_id")
     cards = F.concat(
         F.lit('<a href="/contacto">Contáctenos</a><a href="mailto:x@example.com">contacto</a><a href="/c'), (k % 5).cast("string"),
         F.lit('">Contact us</a><a href="https://other.example/contacto">Contacto</a><a href="/contacto">otra</a><a href="/equipo-'), (k % 3).cast("string"), F.lit('">Nuestro equipo médico</a>'),
     )
-    return read(spark, sf_dir, "pages").select("page_id", "url", F.concat(cards, "html").alias("html"))
+    return read(spark, sf_dir, "pages").select("page_id", "url", (F.concat(cards, "html") if own_html else cards).alias("html"))
 
 
 def link_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,11 +196,14 @@ def phones_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(found, "|").alias("phones"))
 
 
-def _sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every page is the home page of a site of its own, with a contact and a team page behind it."""
+def _sites(spark: SparkSession, sf_dir: str, own_html: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Every page is the home page of a site of its own, with a contact page behind it; some lack either.
+
+    Without ``own_html`` home pages hold the generated links only.
+    """
     k = F.col("page_id")
     base = F.concat(F.lit("https://s"), k.cast("string"), F.lit("."), pick(k, TLDS))
-    pages = carded_pages(spark, sf_dir)
+    pages = carded_pages(spark, sf_dir, own_html)
     card = F.concat(F.lit("<p>Atiende: Sra. "), _person_card(k), F.lit('</p><a href="tel:+57300'), F.lpad(k.cast("string"), 7, "0"), F.lit('">x</a><p>lunes a viernes 8:00 a 17:00</p><p>Dirección: Calle 5, '), pick(k, CARD_CITIES), F.lit("</p>"))
     none = F.lit(None).cast("string")
     home = pages.where(k % 11 != 0).select(base.alias("url"), base.alias("final_url"), "html", none.alias("error"))
@@ -214,6 +217,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_rows(contact_facts(sites, store))
 
 
+def facts_of_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan over generated pages only, of which every column is known."""
+    sites, store = _sites(spark, sf_dir, own_html=False)
+    return sinks.csv_rows(contact_facts(sites, store))
+
+
 def facts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan, as JSON rows (K3)."""
     sites, store = _sites(spark, sf_dir)
@@ -234,5 +243,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "names_in_text": names_in_text, "cleaned_names": cleaned_names, "address_in_text": address_in_text, "word_ngrams": word_ngrams,
         "city_of_text": city_of_text, "jsonld_facts": jsonld_facts, "gathered_tries": gathered_tries, "people_merge": people_merge,
         "ordered_dedup": ordered_dedup, "phone_canonical": phone_canonical, "phones_in_documents": phones_in_documents,
-        "facts": facts, "facts_json": facts_json,
+        "facts": facts, "facts_of_cards": facts_of_cards, "facts_json": facts_json,
     }
