@@ -9,8 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed
+from .functions.entities import spacy_recognizer
 from .plans.contact_facts import contact_facts
-from .sources import sinks
+from .sources import gazetteer, sinks
 from .sources.url_lists import all_urls
 
 
@@ -26,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--timeout", type=float, default=15)
     p.add_argument("--delay", type=float, default=1.0)
     p.add_argument("--ignore-robots", action="store_true")
+    p.add_argument("--cities", help="city table in the layout of the public GeoNames files, instead of the built-in cities")
+    p.add_argument("--use-spacy", action="store_true", help="also look for names by entity recognition, where spaCy is installed")
     p.add_argument("--verbose", action="store_true")
     return p
 
@@ -37,6 +40,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         parser().error("no URL given")
     if not args.store:
         parser().error("--store is needed")
+    try:
+        recognizer = spacy_recognizer() if args.use_spacy else None
+    except ModuleNotFoundError as e:
+        parser().error(str(e))
     spark = spark or SparkSession.builder.appName("factloom").getOrCreate()
     spark.sparkContext.setLogLevel("INFO" if args.verbose else "ERROR")
     sites = all_urls(spark, args.urls, args.input)
@@ -44,7 +51,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         from .plans.crawl import crawl
 
         crawl(sites, args.store, timeout=args.timeout, respect_robots=not args.ignore_robots, pause=args.delay, max_pages=args.max_pages)
-    facts = contact_facts(sites, spark.read.parquet(args.store), max_pages=args.max_pages)
+    cities = gazetteer.from_table(spark, args.cities) if args.cities else None
+    facts = contact_facts(sites, spark.read.parquet(args.store), max_pages=args.max_pages, cities=cities, recognizer=recognizer)
     if args.output:
         sinks.write_csv(facts, args.output)
     elif args.json:

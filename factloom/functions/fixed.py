@@ -7,6 +7,7 @@ COUNTRY_OF_TLD = {
     "ni": "NI", "do": "DO", "pr": "PR", "cu": "CU", "us": "US", "br": "BR", "pt": "PT",
 }
 REGION_ORDER = ("MX", "CO", "ES", "AR", "PE", "CL", "EC", "US")
+RECOGNIZED_CHARS = 20_000
 BARE_CITY_POPULATION, BARE_CITY_LETTERS = 200_000, 5
 CITY_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?:['.][A-Za-zÀ-ÖØ-öø-ÿ]+)*"
 CITY_NAME = r"^[A-Za-zÀ-ÖØ-öø-ÿ' .-]+$"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, hours, jsonld, names, phones, urls
+from ..functions.entities import Recognizer, with_recognized
 from ..functions.text import filled
 from ..operators.city import address_snippet, guessed_cities
 from ..operators.gather import gathered, near_sites, one_per_url
@@ -27,19 +28,21 @@ def micro_address(props: Column) -> Column:
     return F.struct(loc.alias("locality"), reg.alias("region"), cou.alias("country"), filled(F.concat_ws(", ", loc, reg, cou)).alias("raw"))
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, recognizer: Recognizer | None = None) -> DataFrame:
     """Per page (``url``, ``page_url``, ``html``, ``error``) its state, its links and what its text and markup say.
 
     Native but for the parse and the phone numbers.
     """
     parsed = parsed_pages(pages.withColumn("loads", F.col("html").isNotNull()), base_col="page_url")
+    people = names.names_in_text(F.col("text_no_nav"))
+    people = with_recognized(people, F.col("text_no_nav"), recognizer) if recognizer else people
     linked = phones.tel_numbers(F.transform("anchors", lambda a: a["href"]))
     return parsed.select(
         "url", "page_url", "loads", "error", "anchors", "ld_nodes", "meta_city", "text",
         micro_address(F.col("itemprops")).alias("micro"),
         filled(F.try_element_at("itemprops", F.lit("telephone"))).alias("micro_phone"),
         phones.phones_in_text(F.col("text"), linked, urls.country_of(F.col("page_url"))).alias("phones"),
-        names.names_in_text(F.col("text_no_nav")).alias("names"),
+        people.alias("names"),
         hours.hours_in_text(F.col("text")).alias("hours"),
         address_snippet(F.col("text")).alias("snippet"),
     )
@@ -70,15 +73,16 @@ def site_facts(pages: DataFrame) -> DataFrame:
     return read.withColumn("names", names.one_each(F.concat(F.filter(cleaned, lambda p: p["name"].isNotNull()), "page_names")))
 
 
-def contact_facts(sites: DataFrame, store: DataFrame, *, cities: DataFrame | None = None, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+def contact_facts(sites: DataFrame, store: DataFrame, *, cities: DataFrame | None = None, max_pages: int = fixed.MAX_PAGES, recognizer: Recognizer | None = None) -> DataFrame:
     """``sites``: ``site_ord``, ``url``; ``store``: ``url``, ``final_url``, ``html``, ``error``.  One row per site.
 
     A blank or invalid URL gives a row with a warning.  Of the store only pages on the sites' authorities are parsed.
+    ``cities``: a gazetteer instead of the built-in one; ``recognizer``: names that it finds come after those of the patterns.
     """
     spark = sites.sparkSession
     named = sites.select("site_ord", "url", urls.normalized(F.col("url")).alias("source_url"))
     good = named.where("source_url IS NOT NULL").select(F.col("site_ord").alias("site_id"), "source_url")
-    pages = written(page_facts(one_per_url(near_sites(store, good))), "pages")
+    pages = written(page_facts(one_per_url(near_sites(store, good)), recognizer), "pages")
     read, found = gathered(good, pages, max_pages=max_pages)
     facts = site_facts(read.join(pages.select("url", *SITE_COLUMNS), "url"))
     merged = found.join(facts, "site_id", "left")

@@ -33,8 +33,20 @@ def builtin(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, c[0], c[1], c[2], list(c[3:])) for i, c in enumerate(CITIES)], SCHEMA)
 
 
+def from_table(spark: SparkSession, path: str) -> DataFrame:
+    """Cities out of a file in the layout of the public GeoNames city tables (tab-separated, no header), in file order.
+
+    Columns by position: 1 name, 3 other spellings (comma-separated), 8 country code, 14 population.
+    """
+    raw = spark.read.csv(path, sep="\t", quote="", header=False)
+    return raw.select(
+        F.monotonically_increasing_id().alias("ord"), F.col("_c1").alias("name"), F.col("_c8").alias("countrycode"), F.coalesce(F.col("_c14").cast("bigint"), F.lit(0)).alias("population"),
+        F.when(F.col("_c3").isNotNull(), F.split("_c3", ",")).otherwise(F.array().cast("array<string>")).alias("alternatenames"),
+    ).where("name IS NOT NULL")
+
+
 def keyed(cities: DataFrame) -> DataFrame:
     """One row per spelling (``key``, ``name`` as spelt, ``countrycode``, ``population``, ``ord``); short and non-Latin spellings go."""
     spelt = cities.select("countrycode", "population", "ord", F.posexplode(F.concat(F.array("name"), F.coalesce("alternatenames", F.array().cast("array<string>")))).alias("alt", "name"))
     kept = spelt.where((F.length("name") >= 3) & F.col("name").rlike(fixed.CITY_NAME))
-    return kept.select(folded(F.col("name")).alias("key"), "name", "countrycode", "population", (F.col("ord") * 10_000 + F.col("alt")).alias("ord"))
+    return kept.select(folded(F.col("name")).alias("key"), "name", "countrycode", "population", (F.col("ord").cast("decimal(30,0)") * 10_000 + F.col("alt")).alias("ord"))

@@ -36,7 +36,7 @@ def test_clean_person_name(spark, raw, name):
 
 @pytest.mark.parametrize(
     ("raw", "country", "number"),
-    [("+57 315 222 1111", None, "+57 315 2221111"), ("+52 55 1234 5678", None, "+52 55 1234 5678"), ("604 7654321", "CO", "+57 604 7654321"), ("688 21 43 65", "ES", "+34 688 21 43 65"), ("2015", None, None), (None, "ES", None)],
+    [("+57 315 222 1111", None, "+57 315 2221111"), ("+52 55 1234 5678", None, "+52 55 1234 5678"), ("604 7654321", "CO", "+57 604 7654321"), ("688 21 43 65", "ES", "+34 688 21 43 65"), ("2015", None, None), ("+33 (0)1 44 55 66 77", None, "+33 1 44 55 66 77"), ("+49 30 123456", None, "+49 301 234 56"), ("+998 71 200 11 22", None, "+998 712 001 122"), ("+999", None, None), (None, "ES", None)],
 )
 def test_phones(raw, country, number):
     assert phones.canonical(raw, country) == number

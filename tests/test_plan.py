@@ -179,6 +179,20 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM page_links('<a href=\"/x\">y</a>', 'https://a.es')").collect()] == [(0, "/x", "y", "https://a.es/x")]
 
 
+def test_city_table_and_recognizer(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.sources.gazetteer import from_table
+
+    line = lambda name, other, country, people: "\t".join(["1", name, name, other, "0", "0", "P", "PPL", country, "", "", "", "", "", str(people), "", "", "UTC", "2020-01-01"])
+    (tmp_path / "cities.txt").write_text("\n".join([line("Cabo Nuevo", "Nuevo Cabo,Kap Neu", "CL", 900_000), line("Vacía", "", "PE", "")]), encoding="utf-8")
+    cities = from_table(spark, f"{tmp_path}/cities.txt")
+    assert [(r["name"], r["countrycode"], r["population"], r["alternatenames"]) for r in cities.orderBy("ord").collect()] == [("Cabo Nuevo", "CL", 900_000, ["Nuevo Cabo", "Kap Neu"]), ("Vacía", "PE", 0, [])]
+    store = spark.createDataFrame([("https://a.com", None, "<p>Somos de Nuevo Cabo</p><p>Sr. Ramón Paz Gil</p><p>con RITA SOL</p>", None)], STORE)
+    found = contact_facts(spark.createDataFrame([(0, "a.com")], "site_ord int, url string"), store, cities=cities, recognizer=lambda t: F.regexp_extract_all(t, F.lit("([A-Z]+ SOL|Ramón Paz Gil)"), 1)).first()
+    assert (found["city"], found["country"]) == ("Nuevo Cabo", "CL") and [p["name"] for p in found["names"]] == ["Ramón Paz Gil", "Rita Sol"]
+
+
 def test_a_stopped_run_keeps_finished_sites(spark, tmp_path):
     from factloom.streaming.incremental import facts_stream
 
