@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import exists, remove, scratch_path, shared_dir, written  # noqa: F401
+from ..shipping import ship
+
 #: ASCII blanks as the contracts write them: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,62 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that setting is absent a temporary folder is made and set, if all runs on one machine; elsewhere this raises.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="factloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-_scratch_folders: set[str] = set()
-
-
-def _in_store(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    store, target = _in_store(spark, path)
-    return store.exists(target)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; unique, so reruns never meet half-written output.  Goes when the session's JVM does."""
-    folder = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
-    if folder not in _scratch_folders:
-        store, target = _in_store(spark, folder)
-        store.mkdirs(target)
-        store.deleteOnExit(target)
-        _scratch_folders.add(folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: a recovery point and cut lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    again = spark.read.schema(df.schema).parquet(path)
-    again.scratch = path
-    return again
-
-
-def remove(table: DataFrame) -> None:
-    """Deletes what ``written`` wrote, once nothing that is still to run reads it."""
-    store, target = _in_store(table.sparkSession, table.scratch)
-    store.delete(target, True)
-
-
 def whole_text(text_col: str = "text") -> Column:
     """The text, a null one counting as empty."""
     return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -126,21 +69,6 @@ def fixed_share(id_col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors (once an application), which need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as folder:
-            copy = Path(folder, "source")
-            shutil.copytree(package, copy / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-            spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='factloom-')}/{package.name}", "zip", copy))
-        _shipped.add(app)
-
-
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with the package on the workers; stateless by task, so a lost task is simply rerun."""
     ship(df.sparkSession)
