@@ -122,6 +122,12 @@ WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''),
                   '(?i)((?:{fixed.DAY_WORDS})(?:\s*(?:,|y|{fixed.UNTIL})\s*(?:{fixed.DAY_WORDS}))*[^.;\n]{{0,25}}?{_CLOCK}\s*{fixed.UNTIL}\s*{_CLOCK})') AS hs FROM documents)
 SELECT doc_id, array_to_string(hs[1:5], '|') AS hours, hs[1] AS best FROM d""",
         "facts_of_cards": _facts_of_cards(),
+        "facts_json_of_cards": f"""
+WITH f AS ({_facts_of_cards()})
+SELECT CAST(to_json({{'source_url': source_url, 'contact_page_url': nullif(contact_page_url, ''), 'team_page_url': nullif(team_page_url, ''),
+         'names': CASE WHEN names = '' THEN [] ELSE [{{'name': names, 'role': CAST(NULL AS VARCHAR)}}] END, 'phones': CASE WHEN phones = '' THEN [] ELSE [phones] END,
+         'hours': nullif(hours, ''), 'hours_raw': CASE WHEN hours = '' THEN [] ELSE [hours] END, 'city': nullif(city, ''), 'country': nullif(country, ''),
+         'address_raw': nullif(address_raw, ''), 'warnings': CASE WHEN warnings = '' THEN [] ELSE string_split(warnings, ' | ') END}}) AS VARCHAR) AS json FROM f""",
         "people_merge": f"""
 WITH m AS (SELECT conv_id, CASE WHEN turn < 2 THEN 0 ELSE 1 END AS src, turn // 3 AS page, turn AS o, {_pick('turn * 7 + conv_id', FIRST)} AS name,
                   CASE WHEN (conv_id + turn) % 3 = 0 THEN {_pick('conv_id + turn', ('Jefe', 'Ventas'))} END AS role FROM conversations),

@@ -229,6 +229,12 @@ def facts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_rows(contact_facts(sites, store))
 
 
+def facts_json_of_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as JSON rows (K3)."""
+    sites, store = _sites(spark, sf_dir, own_html=False)
+    return sinks.json_rows(contact_facts(sites, store))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, store = _sites(spark, sf_dir)
     return contact_facts(sites, store)
@@ -243,5 +249,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "names_in_text": names_in_text, "cleaned_names": cleaned_names, "address_in_text": address_in_text, "word_ngrams": word_ngrams,
         "city_of_text": city_of_text, "jsonld_facts": jsonld_facts, "gathered_tries": gathered_tries, "people_merge": people_merge,
         "ordered_dedup": ordered_dedup, "phone_canonical": phone_canonical, "phones_in_documents": phones_in_documents,
-        "facts": facts, "facts_of_cards": facts_of_cards, "facts_json": facts_json,
+        "facts": facts, "facts_of_cards": facts_of_cards, "facts_json_of_cards": facts_json_of_cards, "facts_json": facts_json,
     }
