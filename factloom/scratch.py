@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: set[str] = set()
+_within = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    for paths in getattr(_within, "open", []):
+        paths.append(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.scratch = path
     return again
@@ -61,3 +67,17 @@ def remove(table: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing that is still to run reads it."""
     store, target = _in_store(table.sparkSession, table.scratch)
     store.delete(target, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what this thread has written within: for long sessions, once results are out."""
+    paths: list[str] = []
+    _within.open = [*getattr(_within, "open", []), paths]
+    try:
+        yield
+    finally:
+        _within.open = _within.open[:-1]
+        for path in paths:
+            store, target = _in_store(spark, path)
+            store.delete(target, True)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.contact_facts import contact_facts
+from ..scratch import cleared
 
 
 def facts_stream(spark: SparkSession, sites_path: str, store: DataFrame, out_path: str, checkpoint: str, **options) -> StreamingQuery:
@@ -17,7 +18,8 @@ def facts_stream(spark: SparkSession, sites_path: str, store: DataFrame, out_pat
     sites = spark.readStream.schema("site_ord int, url string").parquet(sites_path)
 
     def write(batch: DataFrame, number: int) -> None:
-        # a batch that is tried again overwrites its own folder
-        contact_facts(batch, store, **options).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        # a batch that is tried again overwrites its own folder; its scratch tables go with it
+        with cleared(batch.sparkSession):
+            contact_facts(batch, store, **options).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return sites.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
