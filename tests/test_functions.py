@@ -102,3 +102,17 @@ def test_page_parser():
     assert page["anchors"] == [{"pos": 0, "href": "x", "text": "M n", "url": "https://h/en/x"}]
     assert page["itemprops"] == {"telephone": "12"} and page["meta_city"] == "Lima"
     assert parse_page(None, None)["text"] == ""
+
+
+def test_only_ended_names_are_entities():
+    import duckdb
+
+    from factloom.plans.oracles import oracle_sql
+
+    pages = ["<title>a &amp;&amp</title><p>b&am</p>&amp;amp; &copy;<nav>&quot;&amp</nav>", "<p>x &middot; y&quo", "<script>a&amp;b</script>&copy"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT unnest(range(?)) AS page_id, unnest(?) AS html", [len(pages), pages])
+    rows = con.sql(oracle_sql()["visible_text"]).fetchall()
+    assert {r[0]: r[1:] for r in rows} == {i: (p["text"], p["text_no_nav"]) for i, p in enumerate(parse_page(h, "https://h/") for h in pages)}
+    assert parse_page("&#65&#x42; &notit; &eacute; & &;<textarea>&lt;</textarea>&lt", "https://h/")["text"] == "AB &notit; é & &;\n<\n&lt"
+    assert parse_page('<script type="application/ld+json">{"a": "&amp;"}</script>', "https://h/")["ld_json"] == ['{"a": "&amp;"}']
