@@ -412,3 +412,56 @@ def test_levenshtein_trie_with_two_edits():
     trie = LevenshteinTrie({w: Entry(5.0, 1.0) for w in ("disgusting", "worthless")})
     for word in ("idsgusting", "vvorthless", "owrthless"):
         assert trie.search(word, 2), word
+
+
+def test_near_copies_meet_in_the_grid():
+    from factloom.llm import near_copies as m
+    from factloom.llm.simhash import SEGMENTS, majority
+
+    rng = np.random.default_rng(12)
+    some = lambda k: rng.integers(0, 1 << 63, k, np.uint64)
+    for k in (0, 1, 2, 255, 256, 5000):
+        own = some(k)
+        prints = m.prints_of(own)
+        assert int(prints[0]) == majority(own) and len(prints) == m.WORDS
+    pair = lambda p: [int(p) >> 2 * i & 3 for i in range(SEGMENTS)]
+    for p in prints:
+        assert pair(m.embedded(prints[prints == p])[0]) == [(0, 1, 1, 3)[v] for v in pair(p)]
+    # pairs at the similarity, each of ten shingles in nine changed: near, and together in a cell for any number of nodes
+    sets = [(both := some(160), np.concatenate([both, some(20)]), np.concatenate([both, some(20)])) for _ in range(1500)]
+    x, y = (np.array([m.prints_of(s[i]) for s in sets]) for i in (1, 2))
+    assert (np.bitwise_count(x ^ y).sum(axis=1, dtype=int) <= m.radius(0.8, 64 * m.WORDS)).all()
+    for nodes in (10, 200_000, 12_000_000):
+        masks = m.grid(nodes, 0.8, 2048)
+        met = np.any([((m.embedded(x) & k) == (m.embedded(y) & k)).all(axis=1) for k in masks], axis=0)
+        assert met.mean() >= 0.99, nodes
+
+
+def test_cells_and_families_against_loops():
+    from factloom.llm import near_copies as m
+
+    rng = np.random.default_rng(13)
+    limit = m.radius(0.8, 64 * m.WORDS)
+    for k in range(12):
+        base = rng.integers(0, 1 << 63, (12, m.WORDS), np.uint64)
+        noise = np.bitwise_and.reduce(rng.integers(0, 1 << 63, (2 + k % 3, 300, m.WORDS), np.uint64))
+        n, prints = np.sort(rng.integers(20, 60, 300)), base[rng.integers(0, 12, 300)] ^ noise
+        group = np.arange(300)
+        for i in range(300):
+            for j in range(i):
+                if n[j] >= 0.8 * n[i] and np.bitwise_count(prints[i] ^ prints[j]).sum() <= limit and group[i] != group[j]:
+                    group[group == max(group[i], group[j])] = min(group[i], group[j])
+        assert (m.neighbours(n, prints, 0.8) == group).all()
+    # a dense family, only some of whose pairs are links
+    for size in (3, 12, 60):
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(size) < 0.9], rng.integers(0, 1 << 63, rng.integers(1, 3 + size // 20), np.uint64)])) for _ in range(120)]
+        group = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                shared = len(np.intersect1d(a, sets[j]))
+                if shared >= 0.8 * (len(a) + len(sets[j]) - shared) and group[i] != group[j]:
+                    old, new = max(group[i], group[j]), min(group[i], group[j])
+                    group = [new if g == old else g for g in group]
+        assert len(set(group)) > 1
+        assert m.linked(sets, 0.8, 2) == m.linked(sets, 0.8, 1000) == group
