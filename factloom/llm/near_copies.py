@@ -8,8 +8,8 @@ embedded as in ``simhash``: bit counts of its two-bit segments, in unary.
 Grid range-join: a band is some of the segments, a cell all nodes of equal counts there.  A band takes so many
 segments that a cell holds ``middle`` nodes in the mean, and there are so many bands that a pair at the similarity misses all
 of them in ``LOSS`` of the cases, by calculation; a closer one more surely.  Within a cell, ordered by the size of the
-sets, a node meets those whose size can reach the similarity; there the Manhattan bound, then the exact Hamming distance decide,
-at the mean and six deviations of a pair at the similarity.
+sets, a node meets those whose size can reach the similarity; there the Manhattan bound over half of the fingerprints, then the exact Hamming distance over all
+decide, each at the mean and six deviations of a pair at the similarity.
 
 Nodes that such pairs connect are a family.  A cell gives no pairs but says to which node it connects each one, so a dense
 cluster costs a row a node and cell.  Then the sets decide, so nothing dissimilar is linked: each set is sent once, to
@@ -187,7 +187,8 @@ def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 
 def neighbours(n: np.ndarray, prints: np.ndarray, similarity: float) -> np.ndarray:
     """Of a cell's nodes, ordered by ``n``: the first position that near ones connect each to."""
-    bits = radius(similarity, 64 * WORDS)
+    half = WORDS // 2
+    bits, half_bits = radius(similarity, 64 * WORDS), radius(similarity, 64 * half)
     counts, label = embedded(prints), np.arange(len(n))
     stop = np.searchsorted(similarity * n, n, "right")
     for first in range(0, len(n), _ROWS):
@@ -199,9 +200,9 @@ def neighbours(n: np.ndarray, prints: np.ndarray, similarity: float) -> np.ndarr
             if not len(y):
                 continue
             apart = np.zeros((len(rows), len(y)), np.uint16)
-            for i in range(WORDS):
+            for i in range(half):
                 apart += np.bitwise_count(counts[rows, None, i] ^ counts[None, y, i])
-            i, j = np.nonzero((apart <= bits) & (y > rows[:, None]) & (y < stop[rows][:, None]) & (label[y] != label[rows][:, None]))
+            i, j = np.nonzero((apart <= half_bits) & (y > rows[:, None]) & (y < stop[rows][:, None]) & (label[y] != label[rows][:, None]))
             near = np.bitwise_count(prints[rows[i]] ^ prints[y[j]]).sum(axis=1, dtype=np.int64) <= bits
             if near.any():
                 merge(label, rows[i[near]], y[j[near]])
@@ -309,7 +310,7 @@ def similar(texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float,
     return written(grouped(held, "family", ["node"], of_family, "node long, root long"), "similar")
 
 
-def near_copies(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, small: int = 32, middle: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_copies(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, small: int = 32, middle: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (``id``, ``th``: the text's hash, ``node``), and by ``node`` the ``component_id`` and the row (``stays``) of the component that stays."""
     texts = df.select(F.col(f"`{id_col}`").alias("id"), whole_text(text_col).cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
     rows = written(signatures(texts, shingle), "signatures")
